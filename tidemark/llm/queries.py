@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import table
+from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.packing import pack
 from tidemark.llm.token_store import token_store
@@ -24,12 +25,18 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("n_near_items")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op5_exact_dedup,
         op6_best_fit_packing,
         op9_token_store,
+        op10_decontamination,
     )
 }
 
@@ -42,4 +49,27 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm)
     """,
+    "op10_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), asked AS (
+            SELECT DISTINCT item_id, w[i : i + least(len(w), 10) - 1] AS words, least(len(w), 10) AS n
+            FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0
+        ), placed AS (
+            SELECT doc_id, n, i, w[i : i + n - 1] AS words
+            FROM d, (SELECT DISTINCT n FROM asked) AS s, unnest(range(1, len(w) - n + 2)) AS r(i)
+        ), found AS MATERIALIZED (
+            SELECT doc_id, i, p.n, item_id FROM placed AS p JOIN asked AS a ON p.words = a.words AND p.n = a.n
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT k) AS n_hit FROM found, unnest(range(i, i + n)) AS r(k) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }
