@@ -24,8 +24,8 @@ from pyspark.sql.types import LongType
 from tidemark.llm.common import Scratch, map_arrow, partitions_for, slices, texts
 from tidemark.llm.tokens import default_path, document_ids
 
-#: Ids in a chunk: at least, at most, and the bits of the gear hash that are zero at a cut (256 ids on average).
-LEAST, MOST, CUT_BITS = 64, 2048, 8
+#: Ids in a chunk: at least, at most, and the bits of the gear hash that are zero at a cut (512 ids on average).
+LEAST, MOST, CUT_BITS = 64, 4096, 9
 FAN = 256
 CHUNK, RECIPE = 0, 1
 RECIPES = "part int, doc_id long, start long, n_tokens long, digests binary, lengths binary"
@@ -41,56 +41,67 @@ def _gear() -> np.ndarray:
 _GEAR = _gear()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    if len(ids) <= LEAST:
-        return [len(ids)]
+def cut_marks(ids: np.ndarray) -> np.ndarray:
+    """Ends where a chunk may end, over the ids of many documents: the 32 ids that decide lie within LEAST."""
     h = _GEAR[ids & 0xFFFF]
     for width in (1, 2, 4, 8, 16):  # after these steps each value covers 32 ids
         h[width:] += h[:-width] << np.uint32(width)
+    return np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
+
+
+def cuts(marks: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a document of n ids with these marks."""
     found, last = [], 0
-    for at in [*(np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist(), len(ids)]:
+    for at in [*marks, n]:
         while at - last > MOST:
             last += MOST
             found.append(last)
-        if at - last >= LEAST or at == len(ids):
+        if at - last >= LEAST or at == n:
             found.append(at)
             last = at
-    return found if found[-1] == len(ids) else [*found, len(ids)]
+    return found if found[-1] == n else [*found, n]
 
 
 def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _packed(ids: np.ndarray) -> bytes:
-    """The first byte is the width of an id."""
-    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
-
-
 def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype("<u4")
 
 
 def _chunked(path: str):
+    blake2b = hashlib.blake2b
+
     def run(batches):
         from pyspark import TaskContext
 
         row, task = 0, TaskContext.get().partitionId()
         for ids, data, _ in slices(batches):
             out, own = [], set()
-            for doc_id, encoded in zip(ids, document_ids(data, path), strict=True):
-                tokens, first, digests, lengths = np.frombuffer(encoded, "<u4"), 0, [], []
-                for end in cuts(tokens):
-                    content = _packed(tokens[first:end])
-                    digests.append(digest := _digest(content))
-                    lengths.append(end - first)
+            encoded = document_ids(data, path)
+            tokens = np.frombuffer(b"".join(encoded), "<u4")
+            ends = np.cumsum([len(x) // 4 for x in encoded]).tolist()
+            marks = cut_marks(tokens)
+            bounds = np.searchsorted(marks, [0, *ends], side="right").tolist()
+            marks = marks.tolist()
+            width = 2 if tokens.max() < 1 << 16 else 4
+            packed = tokens.astype(f"<u{width}").tobytes()
+            begin, first_byte = 0, bytes([width])  # of a chunk: the width of an id
+            for doc_id, end, a, b in zip(ids, ends, bounds[:-1], bounds[1:], strict=True):
+                first, digests, lengths = begin, [], []
+                for at in cuts([x - begin for x in marks[a:b]], end - begin):
+                    at += begin
+                    content = first_byte + packed[width * first : width * at]
+                    digests.append(digest := blake2b(content, digest_size=16).digest())
+                    lengths.append(at - first)
                     if digest not in own:
                         own.add(digest)
                         out.append((CHUNK, digest, None, None, content, None))
-                    first = end
+                    first = at
                 row += 1
-                out.append((RECIPE, _digest(b"%d %d" % (task, row)), doc_id, len(tokens), b"".join(digests), np.array(lengths, "<u4").tobytes()))
+                out.append((RECIPE, _digest(b"%d %d" % (task, row)), doc_id, end - begin, b"".join(digests), np.array(lengths, "<u4").tobytes()))
+                begin = end
             types = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["kind", "key", "doc_id", "n_tokens", "data", "lengths"])
 

@@ -7,10 +7,14 @@ the ids of the whole. A text with any other space is encoded whole.
 
 from __future__ import annotations
 
+import gc
 import os
 
 import numpy as np
 
+#: Stands in the cache for a part after which the text can't be cut.
+UNSAFE = 0
+_MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Ends every document.
 END_ID = 2
 
@@ -22,49 +26,120 @@ def default_path() -> str:
 
 
 class PartEncoder:
-    """Little-endian unsigned 32-bit ids of texts. Memory is bounded by `limit` cached parts."""
+    """Little-endian unsigned 32-bit ids of texts. Memory is bounded by `limit` cached parts.
 
-    def __init__(self, path: str, limit: int = 300_000):
+    Parts not seen before are cut by the pre-tokenizer's pattern and given to the library's model as words that are
+    pre-tokenized, many in a call.
+    """
+
+    def __init__(self, path: str, limit: int = 1_300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name within a text is ordinary text
+        self.model = Tokenizer(self.tokenizer.model)  # neither pre-tokenizer nor special tokens
+        self.pieces = regex.compile(PATTERN).findall
         self.limit = limit
-        self.cache: dict[str, bytes | None] = {}
+        self.cache: dict[str, bytes | int] = {}  # by part, without the space before it
+        self.tails: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.cache) + len(parts) > self.limit:
-            self.cache.clear()
-        cache = self.cache
-        for part, ids in zip(parts, self._encode([f" {x}" for x in parts]), strict=True):
-            cache[part] = None if part == "" or part[-1].isspace() else ids
+    def _words(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that the pattern doesn't cut."""
+        return self._mapped([_spelt(x) for x in pieces])
+
+    def _mapped(self, mapped: list[str]) -> list[bytes]:
+        out = []
+        for first in range(0, len(mapped), 1000):
+            found = self.model.encode(mapped[first : first + 1000], is_pretokenized=True, add_special_tokens=False)
+            ids, owner = np.array(found.ids, dtype="<u4").tobytes(), np.array(found.word_ids, dtype=np.int64)
+            ends = (np.searchsorted(owner, np.arange(len(mapped[first : first + 1000])), side="right") * 4).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _learn(self, parts: set[str]) -> None:
+        cache, tails = self.cache, self.tails
+        words = [x for x in parts if x.isalpha()]
+        marked, others, cores = [], [], set()
+        for part in parts.difference(words):
+            core = part.rstrip(_MARKS)
+            if core.isalpha():  # the marks after a word are one piece
+                marked.append((part, core, part[len(core) :]))
+                if core not in cache:
+                    cores.add(core)
+            else:
+                others.append(part)
+        words += cores.difference(words)
+        cache.update(zip(words, self._mapped([_SPACE + x if x.isascii() else _spelt(f" {x}") for x in words]), strict=True))
+        for part, core, tail in marked:
+            if tail not in tails:
+                tails[tail] = self._words([tail])[0]
+            cache[part] = cache[core] + tails[tail]
+        cut = [self.pieces(f" {x}") for x in others]
+        found = iter(self._words([piece for pieces in cut for piece in pieces]))
+        for part, pieces in zip(others, cut, strict=True):
+            ids = b"".join([next(found) for _ in pieces])
+            cache[part] = UNSAFE if part == "" or part[-1].isspace() else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()  # millions of strings and no cycles: the collector would only walk through them
+        try:
+            return self._texts(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
         split = [x.split(" ") for x in texts]
-        needed = set().union(*split) if split else set()
-        if new := needed.difference(self.cache):
-            self._learn(list(new))
-            if lost := needed.difference(self.cache):  # the cache was cleared to make room
-                self._learn(list(lost))
-        known = self.cache.__getitem__
-        heads = iter(self._encode([x[0] for x in split]))
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+            self.tails.clear()
+        get = self.cache.get
+        ids = [list(map(get, x[1:])) for x in split]
+        new: set[str] = set()
+        gaps = []
+        for parts, own in zip(split, ids, strict=True):
+            gaps.append(at := [k for k, x in enumerate(own) if x is None] if None in own else [])
+            new.update([parts[k + 1] for k in at])
+        if new:
+            self._learn(new)
+        cut = [self.pieces(x[0]) for x in split]
+        heads = iter(self._words([piece for pieces in cut for piece in pieces]))
         out = []
-        for text, parts in zip(texts, split, strict=True):
-            head = next(heads)
+        for text, parts, own, at, pieces in zip(texts, split, ids, gaps, cut, strict=True):
+            for k in at:
+                own[k] = get(parts[k + 1])
+            head = b"".join([next(heads) for _ in pieces])
             try:
-                out.append(head + b"".join(map(known, parts[1:])) if not parts[0][-1:].isspace() or len(parts) == 1 else self._encode([text])[0])
-            except TypeError:  # white space before a space
-                if None in map(known, parts[1:-1]) or parts[0][-1:].isspace() or parts[-1] == "":
-                    out.append(self._encode([text])[0])
+                out.append(head + b"".join(own) if not own or not parts[0][-1:].isspace() else self._whole(text))
+            except TypeError:  # white space before a space, or at the end
+                if UNSAFE in own[:-1] or parts[-1] == "" or parts[0][-1:].isspace():
+                    out.append(self._whole(text))
                 else:
-                    out.append(head + b"".join(map(known, parts[1:-1])) + self._encode([f" {parts[-1]}"])[0])
+                    out.append(b"".join([head, *own[:-1], self._whole(f" {parts[-1]}")]))
         return out
 
 
+def _letters() -> dict[int, int]:
+    """Byte-level BPE writes each byte as a letter: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in plain} | {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
+_BYTE_LETTERS = _letters()
+_SPACE = chr(_BYTE_LETTERS[0x20])
+
+
+def _spelt(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+
+
 def encoder(path: str) -> PartEncoder:
     """One encoder for each worker process."""
     if path not in _encoders:
