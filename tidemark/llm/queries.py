@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import table
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.packing import pack
+from tidemark.llm.substring_dedup import dedup_substrings
 from tidemark.llm.token_store import token_store
 
 
@@ -21,6 +23,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), window=35)
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"))
 
@@ -35,6 +45,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op5_exact_dedup,
         op6_best_fit_packing,
+        op7_substring_dedup,
+        op8_ngram_jaccard_join,
         op9_token_store,
         op10_decontamination,
     )
@@ -72,4 +84,22 @@ ORACLE_SQL = {
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op7_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), placed AS MATERIALIZED (
+            SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS words FROM d, unnest(range(1, len(w) - 33)) AS r(i)
+        ), repeats AS (
+            SELECT doc_id, i FROM placed QUALIFY count(*) OVER (PARTITION BY words) > 1
+        ), gone AS MATERIALIZED (
+            SELECT DISTINCT doc_id, k FROM repeats, unnest(range(i, i + 35)) AS r(k)
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text
+            FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d) AS a
+            WHERE NOT EXISTS (SELECT 1 FROM gone AS g WHERE g.doc_id = a.doc_id AND g.k = a.k)
+            GROUP BY doc_id
+        ), n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }
