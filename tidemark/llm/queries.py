@@ -11,10 +11,20 @@ from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import find_pii
+from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.substring_dedup import dedup_substrings
 from tidemark.llm.token_store import token_store
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -43,6 +53,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_secret_scan,
+        op4_pii,
         op5_exact_dedup,
         op6_best_fit_packing,
         op7_substring_dedup,
