@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,3 +92,22 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
 def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
     """As many partitions as rows ask for, and not fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def _summed(batches):
+    total = None
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            total = np.frombuffer(x, np.int64) + (0 if total is None else total)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["vector"])
+
+
+def sum_vectors(rows: DataFrame, length: int, scratch: Scratch, name: str) -> np.ndarray:
+    """The sum of packed int64 vectors of one fixed length, 16 to one until few are left for the driver."""
+    rows = rows.toDF("vector")
+    level, n = 0, rows.count()
+    while n > 16:
+        n = -(-n // 16)
+        rows = scratch.table(map_arrow(rows.repartition(n), _summed, "vector binary"), f"{name}_{(level := level + 1)}")
+    return sum((np.frombuffer(bytes(r["vector"]), np.int64) for r in rows.collect()), np.zeros(length, np.int64))

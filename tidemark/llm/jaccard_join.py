@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, map_arrow, partitions_for, slices, texts
+from tidemark.llm.common import Scratch, map_arrow, partitions_for, slices, sum_vectors, texts
 from tidemark.llm.components import components
 from tidemark.llm.exchange import FLUSH, parts_of, repeated
 from tidemark.llm.exact_dedup import BUCKETS
@@ -72,23 +72,6 @@ def _profiles(size: int):
     return run
 
 
-def _summed(batches):
-    total = np.zeros(SKETCH, np.int64)
-    for batch in batches:
-        for x in batch.column(0).to_pylist():
-            total += np.frombuffer(x, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
-
-
-def _whole_sketch(rows: DataFrame, scratch: Scratch) -> np.ndarray:
-    """Sums the tasks' sketches, 16 to one, until few are left."""
-    level, n = 0, rows.count()
-    while n > 16:
-        n = -(-n // 16)
-        rows = scratch.table(map_arrow(rows.repartition(n), _summed, "sketch binary"), f"sketch_{(level := level + 1)}")
-    return sum((np.frombuffer(bytes(r["sketch"]), np.int64) for r in rows.collect()), np.zeros(SKETCH, np.int64))
-
-
 def prefix(own: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
     """The prefix of a set and the matches that it asks for. counts: the sketch; noise: what an unshared shingle counts."""
     n = len(own)
@@ -216,7 +199,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 80) ->
     scratch = Scratch(spark, "jaccard")
     rows = scratch.table(map_arrow(texts(docs), _profiles(size), "doc_id long, n long, digest binary, sketch binary, kind int"), "profiles")
     profiles = rows.where("kind = 0").select("doc_id", "n", "digest")
-    counts = _whole_sketch(rows.where("kind = 1").select("sketch"), scratch)
+    counts = sum_vectors(rows.where("kind = 1").select("sketch"), SKETCH, scratch, "sketch")
     total = int(counts.sum())
     classes = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     names = profiles.join(classes, "digest", "left").select("doc_id", "n", "rep")

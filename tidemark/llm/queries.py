@@ -10,13 +10,23 @@ from tidemark.llm.common import table
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.language_id import identify
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import find_pii
+from tidemark.llm.quality import score_quality
 from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.substring_dedup import dedup_substrings
 from tidemark.llm.token_store import token_store
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -53,6 +63,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
+        op2_quality_rules,
         op3_secret_scan,
         op4_pii,
         op5_exact_dedup,
