@@ -4,23 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, packing
+from tidemark.llm import decontamination, exact_dedup, jaccard_join, packing, quality
 from tidemark.llm.common import Scratch, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble scores below its threshold go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.kept_documents(docs, keep="largest")
+    """Of equal texts the one with the smallest doc_id stays."""
+    return exact_dedup.kept_documents(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by 80 percent of five-word shingles one document stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an exact match of a benchmark window go."""
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", dedup_exact), ("best-fit packing", pack_sequences)]
+STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("exact dedup", dedup_exact),
+    ("n-gram Jaccard join", dedup_near),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack_sequences),
+]
 
-#: Trained models and tokenizers have no SQL; the tests hold run() against brute force.
+#: Trained rules, components and token ids have no SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -234,3 +234,9 @@ def _ask(spark: SparkSession, index: DataFrame, windows: Windows, slop: int) ->
     counts = map_arrow(index.select("terms", "counts"), _term_counts(wanted), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
     windows.order_by({bytes(r["term"]): r["n"] for r in counts.collect()})  # no more rows than the block has terms
     return map_arrow(index, _asked(spark.sparkContext.broadcast(windows), slop), RESULT)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
+    """The documents without an exact match, with all their columns; of rows that repeat a doc_id, all go if one has a match."""
+    hit = decontaminate(docs, benchmark, window=window).where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)

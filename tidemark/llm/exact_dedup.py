@@ -81,7 +81,7 @@ def _result(rows: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, *, keep: str = "smallest") -> DataFrame:
-    """The documents without the further rows of each group, with all their columns."""
+    """The documents without the further rows of each group, with all their columns; of rows that repeat a doc_id, all go if one goes."""
     result = exact_dedup(docs, keep=keep)
     dropped = result.where(~F.col("kept")).select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -146,3 +146,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, t
     model = fit(x, y, np.array([zlib.crc32(f"fit{r['doc_id']}".encode()) % 6 == 0 for r in rows], bool))
     score = compiled(model)
     return measured.select("doc_id", F.coalesce(id_crc() % 5 == 0, F.lit(False)).alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that aren't rejected, with all their columns; of rows that repeat a doc_id, all go if one is rejected."""
+    rejected = score_quality(docs, labels, threshold=threshold).where("predicted = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
