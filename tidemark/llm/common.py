@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 SLICE_BYTES = 2_000_000
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 _own_folder: dict[str, str] = {}
 
@@ -27,6 +31,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder.setdefault("path", tempfile.mkdtemp(prefix="tidemark-"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of few bytes while a table is written, as an executor holds several copies of each."""
+    old = {k: spark.conf.get(k, None) for k in BATCH_LIMITS}
+    try:
+        for k, v in BATCH_LIMITS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables of one run of an operator, written under one folder of the shared folder.
 
@@ -39,11 +56,23 @@ class Scratch:
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def table(self, df: DataFrame, name: str, *, partition_by: str | None = None, compression: str = "zstd") -> DataFrame:
+        with small_batches(self.spark):
+            self._write(df, name, partition_by, compression)
+        found = self.read(name, df)
+        del df
+        self.release()
+        return found
+
+    def _write(self, df: DataFrame, name: str, partition_by: str | None, compression: str) -> None:
         writer = df.write.mode("overwrite").option("compression", compression)
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(f"{self.path}/{name}")
-        return self.read(name, df)
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of what has been written: it does so when the driver has collected the plans."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
@@ -69,6 +98,15 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def trim() -> None:
+    """Gives memory that a step has freed back to the system, where the allocator would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[list, list[bytes | None], pa.RecordBatch]]:
     """(ids, texts, rows) of at most `most` bytes of text, or one longer document."""
     for batch in batches:
@@ -83,6 +121,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
             held += size
         if first < len(data):
             yield ids[first:], data[first:], batch.slice(first)
+        trim()
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -7,14 +7,14 @@ verified. Equal sets are one class with one representative.
 
 Candidates are compared in rounds, so a group of thousands of similar documents is never expanded to all its pairs: a
 round pairs the documents of each shingle with one centre, verifies those pairs and joins what is linked to components.
-The last round verifies every pair that shares enough prefix shingles and still lies in two components, so no link
-that could join two components is missed.
+The last round compares all documents that lists still hold together and that lie in several components, in blocks, so
+no link that could join two components is missed.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, map_arrow, partitions_for, slices, sum_vectors, texts
+from tidemark.llm.common import Scratch, map_arrow, slices, sum_vectors, texts
 from tidemark.llm.components import components
-from tidemark.llm.exchange import FLUSH, parts_of, repeated
+from tidemark.llm.exchange import FLUSH, HELD, HELD_NAMES, Held, parts_for, repeated_counts, repeated_places
 from tidemark.llm.exact_dedup import BUCKETS
-from tidemark.llm.words import Words, mix, runs
+from tidemark.llm.words import Words, runs
 
 #: Counters of the frequency sketch: its size doesn't depend on the corpus.
-SKETCH = 1 << 18
-#: Matches that a prefix may ask for, and what verifying a pair costs in list entries read.
-MOST_MATCHES, VERIFY_COST = 4, 30
+SKETCH = 1 << 19
+#: Matches that a prefix may ask for in percent of the set, and what verifying a pair costs in list entries read.
+MATCH_PERCENTS, VERIFY_COST = (5, 10, 20, 35), 30
+#: What the first prefix asks for, in percent of the set.
+FIRST_PERCENT = 8
 #: Documents that one verification task compares with a centre at once.
 CHUNK = 200
-#: Rounds with one centre for each shingle before the rest is compared in full.
-ROUNDS = 4
+#: Rounds with one centre for each shingle before the rest is compared in full, in blocks of so many documents.
+ROUNDS, TILE = 2, 150
 
 
 def shingle_sets(data: list[bytes | None], size: int) -> Iterator[np.ndarray]:
@@ -72,92 +74,105 @@ def _profiles(size: int):
     return run
 
 
-def prefix(own: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set and the matches that it asks for. counts: the sketch; noise: what an unshared shingle counts."""
-    n = len(own)
+def first_matches(n, percent: int):
+    """Matches that the first prefix of a set of n asks for."""
+    return np.maximum(1, np.minimum(needed_overlap(n, percent), n * FIRST_PERCENT // 100))
+
+
+def prefix(own: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first prefix of a set, in the order of the sketch."""
     own_counts = counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)]
     order = np.lexsort((own, own_counts))
-    overlap = needed_overlap(n, percent)
-    others = np.cumsum(np.maximum(own_counts[order] - noise, 0))  # entries of other documents in the lists read
-    choices = range(1, min(MOST_MATCHES, overlap) + 1)
-    cost = [others[n - overlap + k - 1] * (1 + VERIFY_COST / k) + (n - overlap + k) for k in choices]
-    best = int(np.argmin(cost)) + 1
-    return own[order[: n - overlap + best]], best
-
-
-class _Held:
-    """Prefix shingles of a task's documents until they are written, packed by part."""
-
-    def __init__(self, parts: int):
-        self.parts, self.size = parts, 0
-        self.tokens: list[np.ndarray] = []
-        self.docs: list[tuple[int, int, int, int]] = []  # doc_id, n, matches, class
-
-    def add(self, tokens: np.ndarray, doc: tuple[int, int, int, int]) -> None:
-        self.tokens.append(tokens)
-        self.docs.append(doc)
-        self.size += len(tokens)
-
-    def rows(self) -> pa.RecordBatch:
-        docs = np.array([x[:3] for x in self.docs], np.int64).reshape(-1, 3)
-        kinds = np.array([x[3] for x in self.docs], np.uint64)
-        token, doc = np.concatenate(self.tokens), np.repeat(np.arange(len(self.docs)), [len(x) for x in self.tokens])
-        order = np.lexsort((docs[doc, 0], kinds[doc], token))  # of a class the least doc_id comes first
-        token, doc = token[order], doc[order]
-        kind = kinds[doc]
-        keep = np.ones(len(token), bool)
-        keep[1:] = (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])
-        token, doc, kind = token[keep], doc[keep], kind[keep]
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
-        starts = np.flatnonzero(new)
-        keys = token[starts]
-        lone = np.diff(np.append(starts, len(token))) == 1
-        key_kind = np.where(lone, kind[starts], np.uint64(0))
-        least = np.minimum.reduceat(docs[doc, 0], starts)
-        part_of_key = parts_of(keys, self.parts)
-        flush, out = uuid.uuid4().hex, []
-        key_bounds = np.searchsorted(part_of_key, np.arange(self.parts + 1))  # keys are sorted, and so are their parts
-        entry_bounds = np.append(starts, len(token))[key_bounds]
-        group = (np.cumsum(new) - 1).astype(np.int64)
-        for part in np.flatnonzero(np.diff(key_bounds)).tolist():
-            a, b, x, y = *key_bounds[part : part + 2].tolist(), *entry_bounds[part : part + 2].tolist()
-            out.append((flush, part, keys[a:b].tobytes(), b"", key_kind[a:b].tobytes(), least[a:b].astype("<i8").tobytes(), (group[x:y] - a).astype("<u4").tobytes(), docs[doc[x:y]].astype("<i8").tobytes(), kind[x:y].tobytes()))
-        types = (pa.string(), pa.int32(), *[pa.binary()] * 7)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["flush", "part", "keys", "more", "kind", "least", "entry_key", "entry_doc", "entry_kind"])
-
-
-KEYS = "flush string, part int, keys binary, more binary, kind binary, least binary, entry_key binary, entry_doc binary, entry_kind binary"
-
-
-def _prefixes(sketch, noise: float, size: int, percent: int, parts: int):
+    n = len(own)
+    return own[order[: n - needed_overlap(n, percent) + int(first_matches(n, percent))]]
+
+
+_PREFIXES = f"doc_id long, n long, kind_of_row int, {HELD}"
+
+
+def _batch(rows: int, **columns) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in _PREFIXES.split(", ")]
+    return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(rows, kinds[kind])) for name, kind in fields], names=[name for name, _ in fields])
+
+
+def _packed(held: Held) -> pa.RecordBatch:
+    rows = held.rows()
+    return _batch(len(rows), kind_of_row=pa.array([1] * len(rows), pa.int32()), **{name: rows.column(k) for k, name in enumerate(rows.schema.names)})
+
+
+def _prefixes(sketch, size: int, percent: int, parts: int):
+    """Prefixes in the sketch's order, or whole sets without a sketch."""
+
     def run(batches):
-        held = _Held(parts)
+        none = np.zeros(0, np.uint64)
+        held, seen = Held(parts), set()
         for ids, data, _ in slices(batches, 1_000_000):
+            rows, tokens = [], []
             for doc_id, own in zip(ids, shingle_sets(data, size), strict=True):
                 if len(own) and doc_id is not None:
-                    kind = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=16).digest()[:8], "little") or 1
-                    tokens, matches = prefix(own, sketch.value, noise, percent)
-                    held.add(tokens, (doc_id, len(own), matches, kind))
+                    rows.append((doc_id, len(own)))
+                    if (key := (hashlib.blake2b(own.tobytes(), digest_size=16).digest())) not in seen:  # of equal sets one
+                        seen.add(key)
+                        tokens.append((doc_id, prefix(own, sketch.value, percent) if sketch else own))
+            if rows:
+                doc_ids, sizes = zip(*rows, strict=True)
+                yield _batch(len(rows), doc_id=pa.array(doc_ids, pa.int64()), n=pa.array(sizes, pa.int64()), kind_of_row=pa.array([0] * len(rows), pa.int32()))
+            if tokens:
+                every = np.concatenate([x for _, x in tokens])
+                doc = np.repeat(np.arange(len(tokens)), [len(x) for _, x in tokens])
+                held.add([x.to_bytes(8, "little", signed=True) for x, _ in tokens], every, none, doc, np.zeros(len(every), np.int64), np.zeros(len(every), bool))
             if held.size >= FLUSH:
-                yield held.rows()
-                held = _Held(parts)
+                yield _packed(held)
+                held, seen = Held(parts), set()
         if held.size:
-            yield held.rows()
+            yield _packed(held)
 
     return run
 
 
-def _members(batches):
-    """Entries of the shingles that were found to repeat."""
+def _numbered(batches):
+    """Documents by number in place of the eight bytes by which the exchange knows them."""
     for batch in batches:
-        for keys, entry_key, entry_doc, entry_kind, found in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            key, wanted = np.frombuffer(entry_key, "<u4").astype(np.int64), np.zeros(len(keys) // 8, bool)
-            wanted[np.frombuffer(found, "<u4")] = True
-            at = np.flatnonzero(wanted[key])
-            docs = np.frombuffer(entry_doc, "<i8").reshape(-1, 3)[at]
-            columns = [np.frombuffer(keys, "<i8")[key[at]], *docs.T, np.frombuffer(entry_kind, "<i8")[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["token", "doc_id", "n", "matches", "kind"])
+        numbers = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), batch.column(1)], names=["doc_id", batch.schema.names[1]])
+
+
+def exact_prefix(values: np.ndarray, totals: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, int]:
+    """The shared shingles in the prefix of a set of n, ordered by how many sets hold them, and the matches it asks for.
+
+    values and totals are those of the shared shingles: the others are rarer and come first.
+    """
+    order = np.lexsort((values, totals))
+    overlap, alone = needed_overlap(n, percent), n - len(values)
+    others = np.concatenate([[0], np.cumsum(totals[order].astype(np.int64) - 1)])
+    choices = sorted({max(1, min(overlap, n * x // 100)) for x in (0, *MATCH_PERCENTS)})
+    lengths = [min(max(n - overlap + k - alone, 0), len(values)) for k in choices]
+    best = int(np.argmin([others[m] * (1 + VERIFY_COST / k) + m for k, m in zip(choices, lengths, strict=True)]))
+    return values[order[: lengths[best]]], choices[best]
+
+
+def _exact(percent: int):
+    def run(batches):
+        for batch in batches:
+            tokens, rows = [np.zeros(0, np.uint64)], []
+            for doc_id, own, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                values, totals = (np.frombuffer(b"".join(x[c] for x in own), t) for c, t in (("values", "<u8"), ("totals", "<u4")))
+                chosen, matches = exact_prefix(values, totals, n, percent)
+                tokens.append(chosen)
+                rows += [(doc_id, n, matches)] * len(chosen)
+            doc, n, matches = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64), pa.int64()), *(pa.array(x, pa.int64()) for x in (doc, n, matches))], names=["token", "doc_id", "n", "matches"])
+
+    return run
+
+
+def _banded(entries: DataFrame, percent: int) -> DataFrame:
+    """Each entry in two lists of its shingle, by size: similar sets lie in one band of sizes or in two that are next."""
+    width = -math.log(percent / 100) * 1.000001 if percent < 100 else 1e-9
+    band = F.floor(F.log(F.col("n")) / width)
+    both = entries.withColumn("band", F.explode(F.array(band, band + 1)))
+    return both.select(F.xxhash64("token", "band").alias("token"), "doc_id")
 
 
 def _verified(size: int, percent: int):
@@ -187,6 +202,71 @@ def _links(pairs: DataFrame, held: DataFrame, scratch: Scratch, name: str, size:
     return scratch.table(rows.groupBy("centre", "chunk").applyInArrow(_verified(size, percent), "u long, v long"), f"{name}_links")
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two sets share."""
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    counts = np.bincount(column, minlength=len(values))
+    place = np.cumsum(counts > 1) - 1  # members of one set only don't matter
+    keep = counts[column] > 1
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    bounds = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 2048, 2048))
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        block = np.zeros((len(sets), 2048), np.float32)
+        block[row[a:b], column[a:b] - 2048 * k] = 1
+        out += block @ block.T
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out.astype(np.int64)
+
+
+def _compared(size: int, percent: int):
+    def run(tile: pa.Table) -> pa.Table:
+        ids, component, text = (tile.column(c).to_pylist() for c in ("doc_id", "component", "text"))
+        sets = list(shingle_sets(text, size))
+        shared, n = _overlaps(sets), np.array([len(x) for x in sets])
+        similar = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
+        root = {c: c for c in component}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        links = []
+        for a, b in np.argwhere(np.triu(similar, 1)).tolist():
+            x, y = find(component[a]), find(component[b])
+            if x != y:  # one link for two components is enough
+                root[max(x, y)] = min(x, y)
+                links.append((ids[a], ids[b]))
+        u, v = zip(*links, strict=True) if links else ([], [])
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _rest(nodes: DataFrame, families: DataFrame, held: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """Links between components among all documents of each family, those that lists hold together.
+
+    A family is cut into blocks of about TILE documents: those of its largest component (below zero) and the others. Each
+    two blocks meet in one task, but for two of the largest component. So a document travels once for each block, not
+    once for each partner, and copies that are linked already aren't compared with each other.
+    """
+    grouped = nodes.join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+    sizes = grouped.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n_docs"))
+    largest = sizes.groupBy("family").agg(F.max_by("component", "n_docs").alias("largest"), F.max("n_docs").alias("n_largest"), F.sum("n_docs").alias("n_docs"))
+    main, others = F.ceil(F.col("n_largest") / TILE).cast("int"), F.ceil((F.col("n_docs") - F.col("n_largest")) / TILE).cast("int")
+    placed = grouped.join(largest.select("family", "largest", main.alias("main"), others.alias("others")).where("others > 0"), "family")
+    inside = F.col("component") == F.col("largest")
+    block = F.when(inside, -1 - F.pmod(F.xxhash64("doc_id"), F.col("main"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("others"))).cast("int")
+    partners = F.sequence(F.when(inside, 0).otherwise(-F.col("main")), F.col("others") - 1)
+    tiles = placed.withColumn("block", block).withColumn("other", F.explode(partners))
+    tiles = tiles.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component")
+    return scratch.table(tiles.join(held.select("doc_id", "text"), "doc_id").groupBy("family", "i", "j").applyInArrow(_compared(size, percent), "u long, v long"), "rest_links")
+
+
 def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -201,55 +281,56 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 80) ->
     profiles = rows.where("kind = 0").select("doc_id", "n", "digest")
     counts = sum_vectors(rows.where("kind = 1").select("sketch"), SKETCH, scratch, "sketch")
     total = int(counts.sum())
-    classes = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join below shuffles both sides and a large class can be split.
+    classes = scratch.table(profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     names = profiles.join(classes, "digest", "left").select("doc_id", "n", "rep")
     same = names.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
 
-    parts = partitions_for(spark, total * (100 - percent) // 100, 500_000)
-    # A shingle of its own counts 1 and what chance adds: the mean of the counters.
-    prefixed = map_arrow(texts(docs), _prefixes(spark.sparkContext.broadcast(counts), 1 + total / SKETCH, size, percent, parts), KEYS)
-    keys = scratch.table(prefixed, "keys", compression="lz4")
-    found = repeated(keys)
-    entries = keys.select("flush", "part", "keys", "entry_key", "entry_doc", "entry_kind").join(found, ["flush", "part"]).select("keys", "entry_key", "entry_doc", "entry_kind", "found")
-    entries = map_arrow(entries, _members, "token long, doc_id long, n long, matches long, kind long")
-    # Copies of one set that different tasks met: the least doc_id stands for all.
-    members = scratch.table(entries.groupBy("token", "kind", "n", "matches").agg(F.min("doc_id").alias("doc_id")).select("token", "doc_id", "n", "matches"), "members")
-    involved = members.select("doc_id").distinct()
-    buckets = F.broadcast(involved.select(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")).distinct())  # at most BUCKETS rows
-    held = texts(docs).join(buckets, F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)) == F.col("bucket"), "left_semi")
-    held = scratch.table(held.join(involved, "doc_id", "left_semi"), "held")
-
-    edges = scratch.table(same.select(F.col("low").alias("u"), F.col("high").alias("v")), "edges_start")
-    found_links = [edges]
-    labelled = members.select("token", "doc_id", "n", "matches", F.col("doc_id").alias("component"))
-    labels = components(edges, scratch, "components_start")
+    # Copies of one set that different tasks meet: the least doc_id stands for all.
+    reps = scratch.table(names.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n").alias("n")), "reps")
+    # First prefixes of all documents, in the order of the sketch. Who shares too few of them has no partner.
+    sketch = spark.sparkContext.broadcast(counts)
+    prefixes = scratch.table(map_arrow(texts(docs), _prefixes(sketch, size, percent, parts_for(total * (100 - percent + FIRST_PERCENT) // 100)), _PREFIXES), "prefixes")
+    shared = map_arrow(repeated_counts(prefixes.where("kind_of_row = 1").select(*HELD_NAMES), 8), _numbered, "doc_id long, n_repeated long")
+    shared = shared.join(reps, "doc_id").groupBy(F.col("rep").alias("doc_id")).agg(F.max("n_repeated").alias("n_repeated"), F.min("n").alias("n"))
+    smaller = F.ceil(F.col("n") * percent / 100)  # shingles of the smallest similar set, which asks for least: see first_matches
+    least = F.greatest(F.lit(1), F.least(F.ceil(smaller * percent / 100), F.floor(smaller * FIRST_PERCENT / 100)))
+    involved = scratch.table(shared.where(F.col("n_repeated") >= least).select("doc_id", "n"), "involved")
+    scratch.drop("prefixes")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    near = texts(docs).join(F.broadcast(involved.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")  # at most BUCKETS rows
+    held = scratch.table(near.join(involved, "doc_id", "left_semi"), "held")
+    # Then, of the documents that are left, prefixes in the order of exact frequencies among them.
+    shingles = involved.agg(F.sum("n")).first()[0] or 0
+    whole = scratch.table(map_arrow(held, _prefixes(None, size, percent, parts_for(shingles)), _PREFIXES), "whole")
+    found = map_arrow(repeated_places(whole.where("kind_of_row = 1").select(*HELD_NAMES), ["values", "totals"], 8), _numbered, "doc_id long, lists array<struct<values: binary, totals: binary>>")
+    entries = map_arrow(found.join(involved, "doc_id").select("doc_id", "lists", "n"), _exact(percent), "token long, doc_id long, n long, matches long")
+    lists = scratch.table(_banded(entries, percent).distinct(), "lists")
+    scratch.drop("whole")
+
+    labels = components(same.select(F.col("low").alias("u"), F.col("high").alias("v")), scratch, "components_start")
     for turn in range(ROUNDS + 1):
-        # Only shingles whose documents lie in several components have pairs left.
+        # Lists whose documents lie in one component have nothing left.
+        at = lists.join(labels, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component")) if turn else lists.withColumn("component", F.col("doc_id"))
         by = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")  # another centre in each round
-        centre = [F.min_by(c, by).alias(f"centre_{c}") for c in ("doc_id", "component", "n")]
-        open_ = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), *centre).where("low <> high")
-        left = scratch.table(labelled.join(open_, "token"), f"left_{turn}")
-        if left.isEmpty():
+        centres = at.groupBy("token").agg(*(F.min_by(c, by).alias(f"centre_{c}") for c in ("doc_id", "component")), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").drop("low", "high")
+        met = scratch.table(at.join(centres, "token").select("token", "doc_id", "component", "centre_doc_id", "centre_component"), f"met_{turn}")
+        if met.isEmpty():
             break
+        lists = met.select("token", "doc_id")
         if turn < ROUNDS:
-            near = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
-            pairs = left.where((F.col("component") != F.col("centre_component")) & near).select(F.col("centre_doc_id").alias("u"), F.col("doc_id").alias("v"))
+            shared = met.where("component <> centre_component").groupBy(F.col("centre_doc_id").alias("u"), F.col("doc_id").alias("v")).agg(F.count(F.lit(1)).alias("shared"))
+            pairs = shared.groupBy("v").agg(F.max_by("u", "shared").alias("u"))  # the centre that a document shares most with
+            links = _links(pairs, held, scratch, f"round_{turn}", size, percent)
         else:
-            a, b = (left.select("token", "doc_id", "n", "matches", "component").alias(x) for x in "ab")
-            near = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-            pairs = a.join(b, near).groupBy(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.least(F.max("a.matches"), F.max("b.matches")).alias("matches")).where("shared >= matches")
-        links = _links(pairs, held, scratch, f"round_{turn}", size, percent)
-        if turn < ROUNDS and links.isEmpty():
+            families = components(met.select(F.col("centre_doc_id").alias("u"), F.col("doc_id").alias("v")), scratch, "families")
+            links = _rest(met.select("doc_id", "component").distinct(), families, held, scratch, size, percent)
+        if links.isEmpty():
             continue
-        found_links.append(links)
-        edges = found_links[0]
-        for x in found_links[1:]:
-            edges = edges.unionByName(x)
-        labels = components(edges, scratch, f"components_{turn}")
-        labelled = left.select("token", "doc_id", "n", "matches").join(labels, F.col("doc_id") == F.col("node"), "left")
-        labelled = labelled.select("token", "doc_id", "n", "matches", F.coalesce("component", "doc_id").alias("component"))
+        so_far = labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        labels = components(so_far.unionByName(links), scratch, f"components_{turn}")
     final = names.join(labels, names["rep"] == labels["node"], "left")
-    return final.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return final.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, map_arrow, partitions_for, slices
+from tidemark.llm.common import Scratch, map_arrow, slices
 from tidemark.llm.exact_dedup import BUCKETS
-from tidemark.llm.exchange import FLUSH, HELD, Held, repeated_places
+from tidemark.llm.exchange import FLUSH, HELD, HELD_NAMES, Held, parts_for, repeated_places
 from tidemark.llm.words import _SECOND_BASE, Words, runs
 
 ANCHOR = 10
 _PLACE_BITS, _BLOCK = 24, 1 << 22
-_SLICE = 1_000_000
+_SLICE = 500_000
 
 
 def anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +106,7 @@ def _second_pass(window: int, parts: int):
             if len(chosen):
                 first, own = at[chosen], doc[chosen]
                 several = np.array(rows.column(rows.schema.get_field_index("several")).to_pylist(), bool)[own]
-                held.add(rids, runs(hashes, first, first + window), runs(hashes, first, first + window, _SECOND_BASE), own, first - words.first[own], several)
+                held.add(rids, runs(hashes, first, first + window), runs(hashes, first, first + window, _SECOND_BASE), own, first - words.first[own], several, grams[start[chosen]])
             if held.size >= FLUSH:
                 yield held.rows()
                 held = Held(parts)
@@ -158,11 +158,11 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, with_text: bool = Fal
     scratch = Scratch(spark, "substrings")
     rows = _identified(docs)
     words_about = rows.select(F.sum(F.length("text"))).first()[0] or 0
-    parts = partitions_for(spark, words_about // 60, 500_000)
-    first = scratch.table(map_arrow(rows, _first_pass(window, parts), _FIRST), "first", compression="lz4")
+    parts = parts_for(words_about // 60)
+    first = scratch.table(map_arrow(rows, _first_pass(window, parts), _FIRST), "first")
     base = first.where("kind_of_row = 0").select("rid", F.col("id").alias("doc_id"), "n_words", "sha")
-    held_names = [x.split()[0] for x in HELD.split(", ")]
-    repeated_anchors = scratch.table(repeated_places(first.where("kind_of_row = 1").select(*held_names), "values"), "anchors")
+    found = repeated_places(first.where("kind_of_row = 1").select(*HELD_NAMES), ["values"], 16)
+    repeated_anchors = scratch.table(found.groupBy("rid").agg(F.flatten(F.collect_list("lists.values")).alias("values")), "anchors")
     classes = scratch.table(base.where(F.col("n_words") >= window).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rep")).where("n > 1"), "classes")
 
     marked = base.join(classes, "sha", "left")
@@ -170,11 +170,11 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, with_text: bool = Fal
     wanted = scratch.table(wanted.select(F.col("rid").alias("doc_id"), "several", "values"), "wanted")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
     near = rows.select("doc_id", "text").join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")  # at most BUCKETS rows
-    held = scratch.table(near.join(wanted, "doc_id").select("doc_id", "text", "several", "values"), "held")
+    held = scratch.table(near.join(wanted, "doc_id").select("doc_id", "text", "several", "values").dropDuplicates(["doc_id"]), "held")
 
-    keys = scratch.table(map_arrow(held, _second_pass(window, parts), HELD), "keys", compression="lz4")
-    places = repeated_places(keys, "places").withColumnRenamed("rid", "doc_id")
-    edits = map_arrow(held.where(~F.col("several")).select("doc_id", "text").join(places, "doc_id"), _without(window), "rid binary, removed long, kept_sha binary, kept binary").dropDuplicates(["rid"])
+    keys = scratch.table(map_arrow(held, _second_pass(window, parts), HELD), "keys")
+    places = repeated_places(keys, ["places"], 16).select(F.col("rid").alias("doc_id"), F.col("lists.places").alias("places"))
+    edits = map_arrow(held.where(~F.col("several")).select("doc_id", "text").join(places, "doc_id"), _without(window), "rid binary, removed long, kept_sha binary, kept binary")
     if not with_text:
         edits = edits.drop("kept")
     gone = F.col("n").isNotNull()

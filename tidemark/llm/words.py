@@ -26,7 +26,7 @@ _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))
 
 def powers(base: int, n: int) -> np.ndarray:
     if base not in _powers or len(_powers[base]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         x = np.full(size, base, np.uint64)
         x[0] = 1
         _powers[base] = np.cumprod(x, dtype=np.uint64)
