@@ -28,6 +28,8 @@ from tidemark.llm.tokens import default_path, document_ids
 LEAST, MOST, CUT_BITS = 64, 4096, 9
 FAN = 256
 CHUNK, RECIPE = 0, 1
+#: Digests that a task remembers, so that it sends a chunk once.
+_SEEN = 300_000
 RECIPES = "part int, doc_id long, start long, n_tokens long, digests binary, lengths binary"
 
 
@@ -76,9 +78,11 @@ def _chunked(path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        row, task = 0, TaskContext.get().partitionId()
+        row, task, own = 0, TaskContext.get().partitionId(), set()
         for ids, data, _ in slices(batches):
-            out, own = [], set()
+            if len(own) > _SEEN:
+                own = set()
+            out = []
             encoded = document_ids(data, path)
             tokens = np.frombuffer(b"".join(encoded), "<u4")
             ends = np.cumsum([len(x) // 4 for x in encoded]).tolist()
@@ -108,11 +112,23 @@ def _chunked(path: str):
     return run
 
 
+def _once(batches):
+    """Rows of a partition by key, each key once: equal chunks come from each task about once."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        fresh = []
+        for at, key in enumerate(batch.column(1).to_pylist()):
+            if key not in seen:
+                seen.add(key)
+                fresh.append(at)
+        yield batch.take(pa.array(fresh, pa.int64())) if len(fresh) < len(batch) else batch
+
+
 def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None) -> None:
     """Writes the store. A null text is an empty one and holds the end id only; null doc_ids come first, ties by content."""
     spark = docs.sparkSession
     rows = map_arrow(texts(docs), _chunked(tokenizer or default_path()), "kind int, key binary, doc_id long, n_tokens long, data binary, lengths binary")
-    unique = rows.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_tokens", "data", "lengths")))
+    unique = map_arrow(rows.repartition("key"), _once, ", ".join(f"{name} {kind}" for name, kind in rows.dtypes))
     unique.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/staged")
     staged = spark.read.schema("key binary, doc_id long, n_tokens long, data binary, lengths binary, kind int").parquet(f"{path}/staged")
     recipes = staged.where(F.col("kind") == RECIPE).select("doc_id", "n_tokens", F.col("data").alias("digests"), "lengths")
@@ -197,13 +213,21 @@ def crc_moved(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def _checked(batches):
+    blake2b, crc32 = hashlib.blake2b, zlib.crc32
     for batch in batches:
         digests, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for digest, content in zip(digests, data, strict=True):
-            if _digest(content) != digest:
+            if blake2b(content, digest_size=16).digest() != digest:
                 raise ValueError(f"the chunk {digest.hex()} doesn't have that digest")
-        ids = [unpacked(x) for x in data]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())], names=["digest", "length", "crc"])
+        widths = {x[0] for x in data}
+        if widths == {2}:  # all at once
+            ids = memoryview(np.frombuffer(b"".join([x[1:] for x in data]), "<u2").astype("<u4").tobytes())
+            lengths = [len(x) // 2 for x in data]
+            ends = (np.cumsum(lengths) * 4).tolist()
+            crcs = [crc32(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        else:
+            lengths, crcs = [len(x) // x[0] for x in data], [crc32(unpacked(x).tobytes()) for x in data]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["digest", "length", "crc"])
 
 
 def _references(batches):
