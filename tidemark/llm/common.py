@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2_000_000
 BATCH_LIMITS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
+_ROOT = str(Path(__file__).resolve().parent.parent.parent)
 _own_folder: dict[str, str] = {}
 
 
@@ -125,6 +128,11 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow(), with the folder of this package on the workers' path where the driver has it from elsewhere than PYTHONPATH."""
+    environment = df.sparkSession.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, *known) if x)
     return df.mapInArrow(function, schema)
 
 
@@ -142,6 +150,17 @@ def _summed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["vector"])
 
 
+def hash_sample(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """All rows if there are n at most, else about n, by a hash of the key: what reaches the driver doesn't grow.
+
+    A best-n query would send n rows of every partition.
+    """
+    found = rows.count()
+    if found <= n:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < F.lit(int((1 << 40) * n / found)))
+
+
 def sum_vectors(rows: DataFrame, length: int, scratch: Scratch, name: str) -> np.ndarray:
     """The sum of packed int64 vectors of one fixed length, 16 to one until few are left for the driver."""
     rows = rows.toDF("vector")

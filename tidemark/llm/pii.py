@@ -17,9 +17,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, slices, texts
+from tidemark.llm.common import Scratch, hash_sample, map_arrow, slices, texts
 from tidemark.llm.trees import boost, predict
 
 #: The kinds in the order of the digest, and their patterns.
@@ -33,7 +32,7 @@ _GROUPS = re.compile(r"\+?\(?[0-9][0-9\x20().\-/]{5,28}[0-9]")
 _CONTEXT = ("phone", "tel", "call", "mobile", "fax", "contact", "mail", "email", "address", "card", "visa", "account", "ip", "host", "ssn", "passport", "id")
 _DIGIT = re.compile("[0-9]")
 
-#: Candidates that the trees learn from, by the least hash; the precision wanted on those held out.
+#: Candidates, about, that the trees learn from, chosen by a hash; the precision wanted on those held out.
 SAMPLE, PRECISION = 20_000, 0.98
 
 
@@ -191,7 +190,8 @@ def find_pii(docs: DataFrame, *, sample: int = SAMPLE, precision: float = PRECIS
     none. With too few candidates to learn from, the base spans are all. `sample` bounds what is learnt from.
     """
     spark = docs.sparkSession
-    rows = map_arrow(texts(docs), _sampled, "key long, label int, x array<double>").orderBy("key", "label", F.col("x")).limit(sample).collect()
+    learning = Scratch(spark, "pii").table(map_arrow(texts(docs), _sampled, "key long, label int, x array<double>"), "candidates")
+    rows = sorted(hash_sample(learning, sample, "key").collect(), key=lambda r: (r["key"], r["label"], r["x"]))
     chooser = spark.sparkContext.broadcast(Chooser([(r["key"], r["label"], list(r["x"])) for r in rows], precision))
     return map_arrow(texts(docs), _found(chooser), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, id_crc, map_arrow, slices, texts
+from tidemark.llm.common import Scratch, hash_sample, id_crc, map_arrow, slices, texts
 from tidemark.llm.trees import boost
 
-#: Labelled rows that the rules are fitted on, by the least hash of the id.
+#: Labelled rows, about, that the rules are fitted on, chosen by a hash of the id.
 SAMPLE = 12_000
 THRESHOLD = 0.3
 #: Lasso penalties that are tried on rows kept out of the fit.
@@ -140,7 +140,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, t
     scratch = Scratch(spark, "quality")
     measured = scratch.table(map_arrow(texts(docs), _measured, "doc_id long, " + ", ".join(f"{c} double" for c in STATISTICS)), "statistics")
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y")).where(id_crc() % 5 != 0)
-    rows = measured.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(sample).collect()
+    rows = hash_sample(scratch.table(measured.join(marks, "doc_id"), "labelled"), sample, "doc_id").collect()
+    rows.sort(key=lambda r: (r["doc_id"], *(r[c] for c in STATISTICS)))  # the fit doesn't depend on the order of arrival
     x = np.array([[r[c] for c in STATISTICS] for r in rows]).reshape(len(rows), len(STATISTICS))
     y = np.array([r["y"] for r in rows], float)
     model = fit(x, y, np.array([zlib.crc32(f"fit{r['doc_id']}".encode()) % 6 == 0 for r in rows], bool))
