@@ -157,9 +157,9 @@ def search_filtered(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.search_texts(spark, _texts(spark, d), QUERY, 20, video_id="7")
 
 
-#: Items of the benchmark as queries: their first eight words are the query, as a user would paste a beginning.
+#: Items of the benchmark as queries, their whole texts.
 _ITEMS = rf"""
-    items AS (SELECT item_id AS qid, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:8] AS w FROM benchmark),
+    items AS (SELECT item_id AS qid, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM benchmark),
     words_of AS (SELECT qid, i - 1 AS phrase, {_tokens_sql("translate(w[i], '\"', ' ')")} AS t FROM items, unnest(range(1, len(w) + 1)) AS r(i)),
     phrases AS MATERIALIZED (SELECT qid, phrase, j - 1 AS place, t[j] AS term FROM words_of, unnest(range(1, len(t) + 1)) AS r(j)),
     docs AS (SELECT doc_id AS unit_id, text FROM documents)
@@ -167,8 +167,7 @@ _ITEMS = rf"""
 
 
 def _item_phrases(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 8), " ").alias("q"))
-    return retrieve.phrases_of(items, F.col("q"))
+    return retrieve.phrases_of(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), F.col("text"))
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -192,14 +191,14 @@ def match_any(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("qid", "unit_id").agg(F.count(F.lit(1)).alias("n_phrases"), F.sum("f").alias("n_matches"))
 
 
-@query(rf"""WITH items AS (SELECT item_id AS qid, {_tokens_sql("text")}[1:3] AS t FROM benchmark),
-    phrases AS (SELECT qid, 0 AS phrase, j - 1 AS place, t[j] AS term FROM items, unnest(range(1, len(t) + 1)) AS r(j)),
-    docs AS (SELECT doc_id AS unit_id, text FROM documents), {_bm25_sql("docs", "phrases")} SELECT qid, unit_id, f FROM found""")
+@query(rf"""WITH items AS (SELECT item_id AS qid, {_tokens_sql("text")} AS t FROM benchmark),
+    phrases AS (SELECT qid, (j - 1) // 3 AS phrase, (j - 1) % 3 AS place, t[j] AS term FROM items, unnest(range(1, len(t) + 1)) AS r(j)),
+    docs AS (SELECT doc_id AS unit_id, text FROM documents), {_bm25_sql("docs", "phrases")} SELECT qid, phrase, unit_id, f FROM found""")
 def match_phrase(spark: SparkSession, d: str) -> DataFrame:
-    """The first three tokens of each item as one phrase."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.slice(tokens(F.col("text")), 1, 3).alias("t"))
-    phrases = items.select("qid", F.lit(0).alias("phrase"), F.posexplode("t").alias("at", "term"))
-    return retrieve.phrase_matches(phrases, index.postings(_documents(spark, d))).select("qid", "unit_id", "f")
+    """Each three tokens of each item as a phrase."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(tokens(F.col("text"))).alias("i", "term"))
+    phrases = items.select("qid", F.floor(F.col("i") / 3).alias("phrase"), (F.col("i") % 3).alias("at"), "term")
+    return retrieve.phrase_matches(phrases, index.postings(_documents(spark, d))).select("qid", "phrase", "unit_id", "f")
 
 
 _RANKS = r"""
