@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, map_arrow, slices, sum_vectors, texts
 from tidemark.llm.components import components
-from tidemark.llm.exchange import FLUSH, HELD, HELD_NAMES, Held, parts_for, repeated_counts, repeated_places
+from tidemark.llm.exchange import FLUSH, HELD, Held, parts_for, repeated_counts, repeated_places
 from tidemark.llm.exact_dedup import BUCKETS
 from tidemark.llm.words import Words, runs
 
@@ -53,6 +53,11 @@ def shingle_sets(data: list[bytes | None], size: int) -> Iterator[np.ndarray]:
         yield np.array([alone[k]], np.uint64) if k in alone else np.unique(whole[bounds[k] : bounds[k + 1]])
 
 
+def _digest(own: np.ndarray) -> bytes:
+    """By this name the exchange knows a set."""
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def needed_overlap(n: np.ndarray | int, percent: int):
     """Shingles that a set of n shares at least with any similar set."""
     return -(-percent * n // 100)
@@ -65,7 +70,7 @@ def _profiles(size: int):
             sizes, digests = [], []
             for own in shingle_sets(data, size):
                 sizes.append(len(own))
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                digests.append(_digest(own) if len(own) else None)
                 sketch[(own & np.uint64(SKETCH - 1)).astype(np.int64)] += 1  # shingles of one document that share a counter count once
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(ids), pa.binary()), pa.array([0] * len(ids), pa.int32())], names=["doc_id", "n", "digest", "sketch", "kind"])
         if sketch.any():
@@ -87,20 +92,6 @@ def prefix(own: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return own[order[: n - needed_overlap(n, percent) + int(first_matches(n, percent))]]
 
 
-_PREFIXES = f"doc_id long, n long, kind_of_row int, {HELD}"
-
-
-def _batch(rows: int, **columns) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [x.split() for x in _PREFIXES.split(", ")]
-    return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(rows, kinds[kind])) for name, kind in fields], names=[name for name, _ in fields])
-
-
-def _packed(held: Held) -> pa.RecordBatch:
-    rows = held.rows()
-    return _batch(len(rows), kind_of_row=pa.array([1] * len(rows), pa.int32()), **{name: rows.column(k) for k, name in enumerate(rows.schema.names)})
-
-
 def _prefixes(sketch, size: int, percent: int, parts: int):
     """Prefixes in the sketch's order, or whole sets without a sketch."""
 
@@ -108,36 +99,24 @@ def _prefixes(sketch, size: int, percent: int, parts: int):
         none = np.zeros(0, np.uint64)
         held, seen = Held(parts), set()
         for ids, data, _ in slices(batches, 1_000_000):
-            rows, tokens = [], []
+            names, tokens = [], [none]
             for doc_id, own in zip(ids, shingle_sets(data, size), strict=True):
-                if len(own) and doc_id is not None:
-                    rows.append((doc_id, len(own)))
-                    if (key := (hashlib.blake2b(own.tobytes(), digest_size=16).digest())) not in seen:  # of equal sets one
-                        seen.add(key)
-                        tokens.append((doc_id, prefix(own, sketch.value, percent) if sketch else own))
-            if rows:
-                doc_ids, sizes = zip(*rows, strict=True)
-                yield _batch(len(rows), doc_id=pa.array(doc_ids, pa.int64()), n=pa.array(sizes, pa.int64()), kind_of_row=pa.array([0] * len(rows), pa.int32()))
-            if tokens:
-                every = np.concatenate([x for _, x in tokens])
-                doc = np.repeat(np.arange(len(tokens)), [len(x) for _, x in tokens])
-                held.add([x.to_bytes(8, "little", signed=True) for x, _ in tokens], every, none, doc, np.zeros(len(every), np.int64), np.zeros(len(every), bool))
+                if len(own) and doc_id is not None and (name := _digest(own)) not in seen:  # of equal sets one
+                    seen.add(name)
+                    names.append(name)
+                    tokens.append(prefix(own, sketch.value, percent) if sketch else own)
+            every = np.concatenate(tokens)
+            doc = np.repeat(np.arange(len(names)), [len(x) for x in tokens[1:]])
+            held.add(names, every, none, doc, np.zeros(len(every), np.int64), np.zeros(len(every), bool))
             if held.size >= FLUSH:
-                yield _packed(held)
+                yield held.rows()
                 held, seen = Held(parts), set()
         if held.size:
-            yield _packed(held)
+            yield held.rows()
 
     return run
 
 
-def _numbered(batches):
-    """Documents by number in place of the eight bytes by which the exchange knows them."""
-    for batch in batches:
-        numbers = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), batch.column(1)], names=["doc_id", batch.schema.names[1]])
-
-
 def exact_prefix(values: np.ndarray, totals: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, int]:
     """The shared shingles in the prefix of a set of n, ordered by how many sets hold them, and the matches it asks for.
 
@@ -175,18 +154,23 @@ def _banded(entries: DataFrame, percent: int) -> DataFrame:
     return both.select(F.xxhash64("token", "band").alias("token"), "doc_id")
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    union = len(np.union1d(a, b))
+    return 100 * (len(a) + len(b) - union) >= percent * union
+
+
 def _verified(size: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
         ids, centres = group.column("doc_id").to_pylist(), group.column("centre").to_pylist()
-        centre, seen, pairs = centres[0], {}, []
-        for doc_id, own in zip(ids, shingle_sets(group.column("text").to_pylist(), size), strict=True):
-            seen[doc_id] = own
-        base = seen.get(centre)
-        for doc_id, own in seen.items():
-            if doc_id != centre and base is not None and 100 * min(len(own), len(base)) >= percent * max(len(own), len(base)):
-                shared = len(own) + len(base) - len(np.union1d(own, base))
-                if 100 * shared >= percent * (len(own) + len(base) - shared):
-                    pairs.append(doc_id)
+        centre, base, pairs = centres[0], [], {}
+        sets = list(shingle_sets(group.column("text").to_pylist(), size))
+        base = [own for doc_id, own in zip(ids, sets, strict=True) if doc_id == centre]
+        for doc_id, own in zip(ids, sets, strict=True):
+            if doc_id != centre and any(_similar(own, x, percent) for x in base):
+                pairs[doc_id] = None
+        pairs = list(pairs)
         return pa.table([pa.array([centre] * len(pairs), pa.int64()), pa.array(pairs, pa.int64())], names=["u", "v"])
 
     return run
@@ -273,7 +257,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 80) ->
     Texts are lower-cased (A-Z) and cut at white space; documents link when 100 * |intersection| >= percent * |union| of
     their distinct `size`-word shingles. component_id is the smallest doc_id reachable by links. A text that is null or
     without words has no shingles and stands alone. A row with a null doc_id links with nothing: its component_id is
-    null. Rows that repeat a doc_id each get a row; their sets all count as sets of that document.
+    null. Rows that repeat a doc_id each get a row; they count as one document that has all of their sets.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -282,33 +266,32 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 80) ->
     counts = sum_vectors(rows.where("kind = 1").select("sketch"), SKETCH, scratch, "sketch")
     total = int(counts.sum())
     # Written, so that the join below shuffles both sides and a large class can be split.
-    classes = scratch.table(profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    names = profiles.join(classes, "digest", "left").select("doc_id", "n", "rep")
-    same = names.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    classes = scratch.table(profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
+    names = profiles.join(classes.select("digest", "rep"), "digest", "left").select("doc_id", "n", "rep")
+    several = names.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    same = names.join(several, "doc_id").select(F.col("low").alias("u"), F.col("rep").alias("v"))  # sets of one document
 
-    # Copies of one set that different tasks meet: the least doc_id stands for all.
-    reps = scratch.table(names.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n").alias("n")), "reps")
     # First prefixes of all documents, in the order of the sketch. Who shares too few of them has no partner.
     sketch = spark.sparkContext.broadcast(counts)
-    prefixes = scratch.table(map_arrow(texts(docs), _prefixes(sketch, size, percent, parts_for(total * (100 - percent + FIRST_PERCENT) // 100)), _PREFIXES), "prefixes")
-    shared = map_arrow(repeated_counts(prefixes.where("kind_of_row = 1").select(*HELD_NAMES), 8), _numbered, "doc_id long, n_repeated long")
-    shared = shared.join(reps, "doc_id").groupBy(F.col("rep").alias("doc_id")).agg(F.max("n_repeated").alias("n_repeated"), F.min("n").alias("n"))
+    prefixes = scratch.table(map_arrow(texts(docs), _prefixes(sketch, size, percent, parts_for(total * (100 - percent + FIRST_PERCENT) // 100)), HELD), "prefixes")
+    # Copies of one set that different tasks meet have one name; the least doc_id stands for all.
+    shared = repeated_counts(prefixes, 16).withColumnRenamed("rid", "digest").groupBy("digest").agg(F.max("n_repeated").alias("n_repeated")).join(classes, "digest")
     smaller = F.ceil(F.col("n") * percent / 100)  # shingles of the smallest similar set, which asks for least: see first_matches
     least = F.greatest(F.lit(1), F.least(F.ceil(smaller * percent / 100), F.floor(smaller * FIRST_PERCENT / 100)))
-    involved = scratch.table(shared.where(F.col("n_repeated") >= least).select("doc_id", "n"), "involved")
+    involved = scratch.table(shared.where(F.col("n_repeated") >= least).groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n").alias("n")), "involved")
     scratch.drop("prefixes")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
     near = texts(docs).join(F.broadcast(involved.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")  # at most BUCKETS rows
     held = scratch.table(near.join(involved, "doc_id", "left_semi"), "held")
     # Then, of the documents that are left, prefixes in the order of exact frequencies among them.
     shingles = involved.agg(F.sum("n")).first()[0] or 0
-    whole = scratch.table(map_arrow(held, _prefixes(None, size, percent, parts_for(shingles)), _PREFIXES), "whole")
-    found = map_arrow(repeated_places(whole.where("kind_of_row = 1").select(*HELD_NAMES), ["values", "totals"], 8), _numbered, "doc_id long, lists array<struct<values: binary, totals: binary>>")
-    entries = map_arrow(found.join(involved, "doc_id").select("doc_id", "lists", "n"), _exact(percent), "token long, doc_id long, n long, matches long")
+    whole = scratch.table(map_arrow(held, _prefixes(None, size, percent, parts_for(shingles)), HELD), "whole")
+    found = repeated_places(whole, ["values", "totals"], 16).withColumnRenamed("rid", "digest").dropDuplicates(["digest"])
+    entries = map_arrow(found.join(classes, "digest").select(F.col("rep").alias("doc_id"), "lists", "n"), _exact(percent), "token long, doc_id long, n long, matches long")
     lists = scratch.table(_banded(entries, percent).distinct(), "lists")
     scratch.drop("whole")
 
-    labels = components(same.select(F.col("low").alias("u"), F.col("high").alias("v")), scratch, "components_start")
+    labels = components(same, scratch, "components_start")
     for turn in range(ROUNDS + 1):
         # Lists whose documents lie in one component have nothing left.
         at = lists.join(labels, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component")) if turn else lists.withColumn("component", F.col("doc_id"))
