@@ -8,8 +8,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.media import frame_rate, probe_info, sample_range
-from tidemark.functions.text import escape_query, normalize_word, tokens, word_count
+from tidemark.functions import media
+from tidemark.functions import text as words_of
+from tidemark.functions.media import probe_info, sample_range
+from tidemark.functions.text import normalize_word, tokens, word_count
 from tidemark.operators import intervals, segment, speech, stages
 from tidemark.plans import index, retrieve
 from tidemark.schema import orphans
@@ -264,8 +266,8 @@ def index_empty_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT item_id, array_to_string(list_transform(list_filter(string_split_regex(translate(text, '"', ' '), '\s+'), lambda x: x <> ''), lambda x: '"' || x || '"'), ' OR ') AS match FROM benchmark""")
-def escape_queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", escape_query(F.col("text")).alias("match"))
+def escape_query(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", words_of.escape_query(F.col("text")).alias("match"))
 
 
 # --- segmentation -------------------------------------------------------------------------------------------------
@@ -544,8 +546,8 @@ def _rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"SELECT l_orderkey, l_linenumber, round(CASE WHEN round(l_tax * 100) = 0 THEN 0 ELSE l_quantity * 1000 / (round(l_tax * 100) * 1001) END, 6) AS fps, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS plain FROM lineitem")
-def frame_rates(spark: SparkSession, d: str) -> DataFrame:
-    return _rates(spark, d).select("l_orderkey", "l_linenumber", F.round(frame_rate(F.col("declared")), 6).alias("fps"), frame_rate(F.col("average")).alias("plain"))
+def frame_rate(spark: SparkSession, d: str) -> DataFrame:
+    return _rates(spark, d).select("l_orderkey", "l_linenumber", F.round(media.frame_rate(F.col("declared")), 6).alias("fps"), media.frame_rate(F.col("average")).alias("plain"))
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN round(l_tax * 100) = 0 THEN 0 ELSE l_quantity * 1000 / (round(l_tax * 100) * 1001) END AS declared, l_quantity AS average FROM lineitem)
