@@ -110,8 +110,19 @@ def trim() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[list, list[bytes | None], pa.RecordBatch]]:
-    """(ids, texts, rows) of at most `most` bytes of text, or one longer document."""
+#: What operators keep in a worker process from one task to the next. Workers go on to serve other operators, which drop it.
+worker_caches: dict[str, object] = {}
+
+
+def drop_caches(keep: str = "") -> None:
+    for name in [x for x in worker_caches if x != keep]:
+        del worker_caches[name]
+        trim()
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, keep: str = "") -> Iterator[tuple[list, list[bytes | None], pa.RecordBatch]]:
+    """(ids, texts, rows) of at most `most` bytes of text, or one longer document. keep: the cache that the operator uses."""
+    drop_caches(keep)
     for batch in batches:
         data = batch.column(batch.schema.get_field_index("text")).to_pylist()
         ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()

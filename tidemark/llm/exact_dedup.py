@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, map_arrow, texts
+from tidemark.llm.common import Scratch, drop_caches, map_arrow, texts
 
 #: Buckets of repeated hashes that are broadcast: never more rows than this, whatever the corpus holds.
 BUCKETS = 1 << 18
@@ -22,6 +22,7 @@ BUCKETS = 1 << 18
 
 def _hashed(keep_text: bool, digest_bytes: int):
     def run(batches):
+        drop_caches()
         for batch in batches:
             data = [(x or b"").lower() for x in batch.column(1).to_pylist()]  # bytes.lower() changes A-Z only
             digests = [hashlib.md5(x, usedforsecurity=False).digest()[:digest_bytes] for x in data]

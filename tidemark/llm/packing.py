@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, map_arrow, partitions_for, slices, texts
-from tidemark.llm.tokens import default_path, document_ids
+from tidemark.llm.tokens import CACHE, default_path, document_ids
 
 CAPACITY = 1024
 #: Large lengths form at most so many groups. The plan is made for each of these parts of the capacity as the limit of
@@ -35,7 +35,7 @@ def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int):
     def run(batches):
-        for ids, data, _ in slices(batches):
+        for ids, data, _ in slices(batches, keep=CACHE):
             out = []
             for doc_id, encoded in zip(ids, document_ids(data, path), strict=True):
                 out += [(doc_id, k, at, n, zlib.crc32(encoded[4 * at : 4 * (at + n)])) for k, (at, n) in enumerate(piece_bounds(len(encoded) // 4, capacity))]

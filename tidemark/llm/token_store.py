@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidemark.llm.common import Scratch, map_arrow, partitions_for, slices, texts
-from tidemark.llm.tokens import default_path, document_ids
+from tidemark.llm.tokens import CACHE, default_path, document_ids
 
 #: Ids in a chunk: at least, at most, and the bits of the gear hash that are zero at a cut (512 ids on average).
 LEAST, MOST, CUT_BITS = 64, 4096, 9
@@ -79,7 +79,7 @@ def _chunked(path: str):
         from pyspark import TaskContext
 
         row, task, own = 0, TaskContext.get().partitionId(), set()
-        for ids, data, _ in slices(batches):
+        for ids, data, _ in slices(batches, keep=CACHE):
             if len(own) > _SEEN:
                 own = set()
             out = []

@@ -12,6 +12,10 @@ import os
 
 import numpy as np
 
+from tidemark.llm.common import worker_caches
+
+#: The name of the encoders among the caches of a worker.
+CACHE = "encoders"
 #: Stands in the cache for a part after which the text can't be cut.
 UNSAFE = 0
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
@@ -142,12 +146,10 @@ def _spelt(piece: str) -> str:
 
 def encoder(path: str) -> PartEncoder:
     """One encoder for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = PartEncoder(path)
-    return _encoders[path]
-
-
-_encoders: dict[str, PartEncoder] = {}
+    held = worker_caches.setdefault(CACHE, {})
+    if path not in held:
+        held[path] = PartEncoder(path)
+    return held[path]
 
 
 def document_ids(data: list[bytes | None], path: str) -> list[bytes]:
