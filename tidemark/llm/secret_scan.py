@@ -29,7 +29,8 @@ WEIGHTS = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9,
     "auth": 0.6, "authorization": 0.8, "bearer": 0.9, "private": 0.5, "key": 0.5, "access": 0.3, "api": 0.3, "signing": 0.4, "encryption": 0.4, "session": 0.3, "cookie": 0.4, "dsn": 0.6,
 }
-_STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "dsn")
+#: A text without any of these has no name with a weight: each key of WEIGHTS has one of them within it.
+_STEMS = tuple(x for x in WEIGHTS if not any(y in x for y in WEIGHTS if y != x))
 #: Fixed values that stand for no secret.
 _PLACEHOLDERS = re.compile(r"(?ai:change_?me|example|placeholder|dummy|your[_-]|todo|none|null|true|false|undefined|x{4,}|\*{3,}|<.*>|\$\{.*\}|%\(.*\)s|\{\{.*\}\})")
 THRESHOLD = 1.2
