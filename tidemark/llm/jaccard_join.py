@@ -197,7 +197,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     out = np.zeros((len(sets), len(sets)), np.float32)
-    bounds = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 2048, 2048))
+    bounds = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + 2048, 2048))
     for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         block = np.zeros((len(sets), 2048), np.float32)
         block[row[a:b], column[a:b] - 2048 * k] = 1
