@@ -2,8 +2,9 @@
 
 All documents order their shingles alike: by a sketch of the shingles' frequencies over the whole corpus, rarest first,
 then by hash. If two sets are similar, their prefixes for `l` matches share at least `l` shingles. Each document takes
-the `l` of least estimated cost: a longer prefix reads longer lists, but asks for more shared shingles before a pair is
-verified. Equal sets are one class with one representative.
+the `l` of least estimated cost. The first prefixes drop documents that share too few shingles with all others together;
+the second ones only find candidates, for which one shared shingle is enough: `l` isn't asked of a pair. Equal sets are
+one class with one representative.
 
 Candidates are compared in rounds, so a group of thousands of similar documents is never expanded to all its pairs: a
 round pairs the documents of each shingle with one centre, verifies those pairs and joins what is linked to components.
