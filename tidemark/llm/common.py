@@ -96,6 +96,36 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
+#: The column that names rows; see with_rows().
+ROW = "__row"
+
+
+def with_rows(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """docs with a column ROW that differs in all rows, and whether that is doc_id.
+
+    It is doc_id where no id is null or repeats; else a number that is written with the row, so it stays the same.
+    """
+    own = F.col("doc_id").cast("long")
+    if docs.groupBy(own.alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn(ROW, own), True
+    return scratch.table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows"), False
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """Rows of with_rows() as documents that have the row's name as doc_id."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def further_rows(groups: DataFrame, rows: DataFrame, scratch: Scratch, *, largest: bool = False) -> DataFrame:
+    """The ROW of all rows of groups (ROW, group) but one: that of the least or largest doc_id; a null id is the last choice."""
+    named = scratch.table(groups.join(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW), "grouped")
+    if largest:
+        stays = F.max_by(ROW, F.struct(F.col("doc_id").isNotNull(), "doc_id", -F.col(ROW)))
+    else:
+        stays = F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
+    return named.select(ROW).join(named.groupBy("group").agg(stays.alias(ROW)).select(ROW), ROW, "left_anti")
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of the id written as text; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, map_arrow, slices, texts
+from tidemark.llm.common import ROW, Scratch, by_row, map_arrow, slices, texts, with_rows
 
 #: Words in a window; an item of fewer is one window.
 WINDOW = 10
@@ -237,6 +237,7 @@ def _ask(spark: SparkSession, index: DataFrame, windows: Windows, slop: int) ->
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """The documents without an exact match, with all their columns; of rows that repeat a doc_id, all go if one has a match."""
-    hit = decontaminate(docs, benchmark, window=window).where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The rows without an exact match, with all their columns."""
+    rows, _ = with_rows(docs, Scratch(docs.sparkSession, "clean_documents"))
+    hit = decontaminate(by_row(rows), benchmark, window=window).where("contaminated").select(F.col("doc_id").alias(ROW))
+    return rows.join(hit, ROW, "left_anti").select(*docs.columns)

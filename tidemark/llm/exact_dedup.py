@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, drop_caches, map_arrow, texts
+from tidemark.llm.common import ROW, Scratch, by_row, drop_caches, further_rows, map_arrow, texts, with_rows
 
 #: Buckets of repeated hashes that are broadcast: never more rows than this, whatever the corpus holds.
 BUCKETS = 1 << 18
@@ -82,7 +82,12 @@ def _result(rows: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, *, keep: str = "smallest") -> DataFrame:
-    """The documents without the further rows of each group, with all their columns; of rows that repeat a doc_id, all go if one goes."""
-    result = exact_dedup(docs, keep=keep)
-    dropped = result.where(~F.col("kept")).select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group, with all its columns: that of the smallest or largest doc_id, one with a null id only where all are null."""
+    scratch = Scratch(docs.sparkSession, "kept_documents")
+    rows, unique = with_rows(docs, scratch)
+    found = exact_dedup(by_row(rows), keep=keep)
+    if unique:
+        dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
+    else:
+        dropped = further_rows(found.where("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group")), rows, scratch, largest=keep == "largest")
+    return rows.join(dropped, ROW, "left_anti").select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, map_arrow, slices, sum_vectors, texts
+from tidemark.llm.common import ROW, Scratch, by_row, further_rows, map_arrow, slices, sum_vectors, texts, with_rows
 from tidemark.llm.components import components
 from tidemark.llm.exchange import FLUSH, HELD, Held, parts_for, repeated_counts, repeated_places
 from tidemark.llm.exact_dedup import BUCKETS
@@ -318,6 +318,15 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 80) ->
 
 
 def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose doc_id is their component's; rows without doc_id stay."""
-    gone = jaccard_components(docs, size=size, percent=percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of rows: that of the smallest doc_id, one with a null id only where all are null.
+
+    Here rows that repeat a doc_id or have none link by their own texts like any other.
+    """
+    scratch = Scratch(docs.sparkSession, "one_of_each")
+    rows, unique = with_rows(docs, scratch)
+    found = jaccard_components(by_row(rows), size=size, percent=percent)
+    if unique:
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(ROW))
+    else:
+        gone = further_rows(found.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")), rows, scratch)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, hash_sample, id_crc, map_arrow, slices, texts
+from tidemark.llm.common import ROW, Scratch, by_row, hash_sample, id_crc, map_arrow, slices, texts, with_rows
 from tidemark.llm.trees import boost
 
 #: Labelled rows, about, that the rules are fitted on, chosen by a hash of the id.
@@ -136,9 +136,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, t
     used; several labels of one id count as their majority, a tie as 1. Without labels every score is 0.5; with labels
     of one kind, the share of that kind.
     """
+    return _scored(docs, labels, sample, threshold).select("doc_id", "held_out", "score", "predicted")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, sample: int, threshold: float, ids: DataFrame | None = None) -> DataFrame:
+    """score_quality(); with ids (ROW, doc_id), docs have the name of a row as doc_id, which is ROW in the result."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     measured = scratch.table(map_arrow(texts(docs), _measured, "doc_id long, " + ", ".join(f"{c} double" for c in STATISTICS)), "statistics")
+    if ids is not None:
+        measured = scratch.table(measured.withColumnRenamed("doc_id", ROW).join(ids, ROW), "identified")
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y")).where(id_crc() % 5 != 0)
     rows = hash_sample(scratch.table(measured.join(marks, "doc_id"), "labelled"), sample, "doc_id").collect()
     rows.sort(key=lambda r: (r["doc_id"], *(r[c] for c in STATISTICS)))  # the fit doesn't depend on the order of arrival
@@ -146,10 +153,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, t
     y = np.array([r["y"] for r in rows], float)
     model = fit(x, y, np.array([zlib.crc32(f"fit{r['doc_id']}".encode()) % 6 == 0 for r in rows], bool))
     score = compiled(model)
-    return measured.select("doc_id", F.coalesce(id_crc() % 5 == 0, F.lit(False)).alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    return measured.select(*([] if ids is None else [ROW]), "doc_id", F.coalesce(id_crc() % 5 == 0, F.lit(False)).alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that aren't rejected, with all their columns; of rows that repeat a doc_id, all go if one is rejected."""
-    rejected = score_quality(docs, labels, threshold=threshold).where("predicted = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that aren't rejected, with all their columns."""
+    rows, unique = with_rows(docs, Scratch(docs.sparkSession, "accepted"))
+    ids = None if unique else rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"))
+    rejected = _scored(by_row(rows), labels, SAMPLE, threshold, ids).where("predicted = 0").select(F.col("doc_id" if unique else ROW).alias(ROW))
+    return rows.join(rejected, ROW, "left_anti").select(*docs.columns)
