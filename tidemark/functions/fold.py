@@ -45,7 +45,17 @@ def group_starts(items: Column, first_fields: list[str], closes: Callable[[Colum
     return F.aggregate(items, zero, step, lambda acc: acc["starts"])
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once however often `use` names it: a lambda's variable is only read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def groups(items: Column, starts: Column) -> Column:
     """The items of each group."""
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(items)))
-    return F.transform(starts, lambda first, k: F.slice(items, first + 1, F.get(ends, k) - first))
+
+    def cut(both: Column) -> Column:
+        own, firsts = both["items"], both["starts"]
+        ends = F.concat(F.slice(firsts, 2, F.greatest(F.size(firsts) - 1, F.lit(0))), F.array(F.size(own)))
+        return F.transform(F.arrays_zip(firsts.alias("first"), ends.alias("until")), lambda g: F.slice(own, g["first"] + 1, g["until"] - g["first"]))
+
+    return bound(F.struct(items.alias("items"), starts.alias("starts")), cut)

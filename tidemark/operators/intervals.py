@@ -31,10 +31,20 @@ def overlaps(a: DataFrame, b: DataFrame, *, bucket_s: float | None = None, how:
     return left.join(right, meet & (F.col("_bucket") == F.col("_b_bucket")) & once).drop("_bucket", "_b_bucket")
 
 
-def containing(points: DataFrame, at: Column, spans: DataFrame, value: str, out: str) -> DataFrame:
-    """points with `out`: the value of the first span by t_start with t_start <= at < t_end, else null."""
-    spans = spans.select(F.col("video_id").alias("_v"), F.col("t_start").alias("_a"), F.col("t_end").alias("_b"), F.col(value).alias("_value"))
-    met = points.withColumn("_at", at).join(spans, (F.col("video_id") == F.col("_v")) & (F.col("_a") <= F.col("_at")) & (F.col("_at") < F.col("_b")), "left")
+#: Seconds of a bucket in which spans of one video meet.
+BUCKET_S = 64.0
+
+
+def containing(points: DataFrame, at: Column, spans: DataFrame, value: str, out: str, *, bucket_s: float = BUCKET_S) -> DataFrame:
+    """points with `out`: the value of the first span by t_start with t_start <= at < t_end, else null.
+
+    A span is in every bucket of time that it reaches and a point in one, so a long video is no product of both.
+    """
+    spans = spans.select(
+        F.col("video_id").alias("_v"), F.col("t_start").alias("_a"), F.col("t_end").alias("_b"), F.col(value).alias("_value"), F.explode(F.sequence(F.floor(F.col("t_start") / bucket_s), F.floor(F.col("t_end") / bucket_s))).alias("_in")
+    )
+    placed = points.withColumn("_at", at).withColumn("_bucket", F.floor(F.col("_at") / bucket_s))
+    met = placed.join(spans, (F.col("video_id") == F.col("_v")) & (F.col("_bucket") == F.col("_in")) & (F.col("_a") <= F.col("_at")) & (F.col("_at") < F.col("_b")), "left")
     return met.groupBy(*points.columns).agg(F.min(F.struct("_a", "_value"))["_value"].alias(out))
 
 

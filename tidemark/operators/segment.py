@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.fold import group_starts, groups, sorted_items
+from tidemark.functions.fold import bound, group_starts, groups, sorted_items
 from tidemark.functions.text import word_count
 from tidemark.operators.intervals import containing
 from tidemark.settings import Clips, Scenes, Settings
@@ -56,23 +56,30 @@ def split_long(span: Column, max_s: float) -> Column:
 
 def absorb_tail(spans: Column, min_s: float) -> Column:
     """The spans, the last joined to the one before if it is shorter than min_s."""
-    n = F.size(spans)
-    last, before = F.get(spans, n - 1), F.get(spans, n - 2)
-    short = (n >= 2) & (last["t_end"] - last["t_start"] < min_s)
-    joined = F.struct(before["t_start"].alias("t_start"), last["t_end"].alias("t_end"))
-    return F.when(short, F.concat(F.slice(spans, 1, F.greatest(n - 2, F.lit(0))), F.array(joined))).otherwise(spans)
+
+    def joined(own: Column) -> Column:
+        n = F.size(own)
+        last, before = F.get(own, n - 1), F.get(own, n - 2)
+        short = (n >= 2) & (last["t_end"] - last["t_start"] < min_s)
+        both = F.struct(before["t_start"].alias("t_start"), last["t_end"].alias("t_end"))
+        return F.when(short, F.concat(F.slice(own, 1, F.greatest(n - 2, F.lit(0))), F.array(both))).otherwise(own)
+
+    return bound(spans, joined)
 
 
 def accumulated(items: Column, least_s: float, rest_end: Column, max_s: float, min_s: float, keep_rest: Column | None = None) -> Column:
     """Spans from runs of items that last least_s; what is left over ends at rest_end. Long ones are split, a short tail joined."""
-    runs = groups(items, group_starts(items, ["t_start"], lambda first, item, n: item["t_end"] - first["t_start"] >= least_s, after=True))
 
     def span(run: Column) -> Column:
-        start, end = F.get(run, 0)["t_start"], F.element_at(run, -1)["t_end"]
+        start, end = F.get(run, F.lit(0))["t_start"], F.element_at(run, -1)["t_end"]
         return F.struct(start.alias("t_start"), F.when(end - start >= least_s, end).otherwise(rest_end).alias("t_end"), (end - start >= least_s).alias("full"))
 
-    spans = F.filter(F.transform(runs, span), lambda s: s["full"] | (F.lit(True) if keep_rest is None else keep_rest > s["t_start"]))
-    return absorb_tail(F.flatten(F.transform(spans, lambda s: split_long(s, max_s))), min_s)
+    def cut(own: Column) -> Column:
+        runs = groups(own, group_starts(own, ["t_start"], lambda first, item, n: item["t_end"] - first["t_start"] >= least_s, after=True))
+        spans = F.filter(F.transform(runs, span), lambda s: s["full"] | (F.lit(True) if keep_rest is None else keep_rest > s["t_start"]))
+        return F.flatten(F.transform(spans, lambda s: split_long(s, max_s)))
+
+    return absorb_tail(bound(items, cut), min_s)
 
 
 def shot_spans(shots: Column, duration: Column, target_s: float, max_s: float, min_s: float) -> Column:
@@ -85,7 +92,12 @@ def chapter_spans(chapters: Column, duration: Column, scenes: Scenes) -> Column:
     """Scenes from chapters (start_time, end_time): short ones are merged forward, long ones split."""
     filled = F.transform(chapters, lambda c: F.struct(F.coalesce(c["start_time"], F.lit(0.0)).alias("t_start"), F.coalesce(c["end_time"], duration).alias("t_end")))
     kept = F.transform(F.filter(filled, lambda c: c["t_end"] > c["t_start"]), lambda c: F.struct(c["t_start"].alias("t_start"), F.least(c["t_end"], duration).alias("t_end")))
-    return F.when(F.size(kept) > 0, accumulated(kept, scenes.min_s, F.element_at(F.when(F.size(kept) > 0, kept), -1)["t_end"], scenes.max_s, scenes.min_s)).otherwise(F.slice(kept, 1, 0))
+
+    def merged(own: Column) -> Column:
+        rest = F.element_at(F.when(F.size(own) > 0, own), -1)["t_end"]
+        return F.when(F.size(own) > 0, accumulated(own, scenes.min_s, rest, scenes.max_s, scenes.min_s)).otherwise(F.slice(own, 1, 0))
+
+    return bound(kept, merged)
 
 
 def close_shots(boundaries: Column, duration: Column) -> Column:
@@ -93,11 +105,17 @@ def close_shots(boundaries: Column, duration: Column) -> Column:
     clamped = F.transform(
         boundaries, lambda s: F.struct(F.least(F.greatest(s["t_start"], F.lit(0.0)), duration).alias("t_start"), F.least(F.greatest(s["t_end"], F.lit(0.0)), duration).alias("t_end"))
     )
-    kept = F.filter(clamped, lambda s: s["t_end"] > s["t_start"])
-    n = F.size(kept)
-    closed = F.transform(kept, lambda s, i: F.struct(F.when(i == 0, 0.0).otherwise(s["t_start"]).alias("t_start"), F.when(i == n - 1, duration).otherwise(s["t_end"]).alias("t_end")))
     whole = F.array(F.struct(F.lit(0.0).alias("t_start"), duration.alias("t_end")))
-    return F.when(F.coalesce(duration, F.lit(0.0)) <= 0, F.slice(whole, 1, 0)).when(n > 0, closed).otherwise(whole)
+
+    def closed(kept: Column) -> Column:
+        n = F.size(kept)
+        return F.when(
+            n > 0,
+            F.transform(kept, lambda s, i: F.struct(F.when(i == 0, 0.0).otherwise(s["t_start"]).alias("t_start"), F.when(i == n - 1, duration).otherwise(s["t_end"]).alias("t_end"))),
+        ).otherwise(whole)
+
+    spans = bound(F.filter(clamped, lambda s: s["t_end"] > s["t_start"]), closed)
+    return F.when(F.coalesce(duration, F.lit(0.0)) <= 0, F.slice(whole, 1, 0)).otherwise(F.coalesce(spans, whole))
 
 
 def speech_density(videos: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -133,6 +151,3 @@ def segment(videos: DataFrame, sentences: DataFrame, shots: DataFrame, settings:
 def units_per_video(units: DataFrame) -> DataFrame:
     return units.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_units"))
 
-
-def numbered(spans: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    return spans.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))

@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip, tokens
+from tidemark.operators.intervals import BUCKET_S
 
 
-def unit_texts(units: DataFrame, sentences: DataFrame) -> DataFrame:
+def unit_texts(units: DataFrame, sentences: DataFrame, *, bucket_s: float = BUCKET_S) -> DataFrame:
     """unit_id, video_id, text: the sentences that overlap each unit, in order; '' where there are none.
 
-    A sentence that crosses a boundary is in the text of both units.
+    A sentence that crosses a boundary is in the text of both units. Units and sentences meet in buckets of time, each
+    pair in the first bucket that both reach.
     """
-    s = sentences.select(F.col("video_id").alias("_v"), F.col("t_start").alias("_a"), F.col("t_end").alias("_b"), F.col("id").alias("_id"), F.col("text").alias("_text"))
-    met = units.join(s, (F.col("video_id") == F.col("_v")) & (F.col("_a") < F.col("t_end")) & (F.col("_b") > F.col("t_start")), "left")
+
+    def reached(a: str, b: str) -> Column:
+        return F.explode_outer(F.sequence(F.floor(F.col(a) / bucket_s), F.floor(F.col(b) / bucket_s)))
+
+    s = sentences.select(F.col("video_id").alias("_v"), F.col("t_start").alias("_a"), F.col("t_end").alias("_b"), F.col("id").alias("_id"), F.col("text").alias("_text")).withColumn("_in", reached("_a", "_b"))
+    own = units.select("unit_id", "video_id", "t_start", "t_end").withColumn("_bucket", reached("t_start", "t_end"))
+    once = F.col("_bucket") == F.greatest(F.floor(F.col("t_start") / bucket_s), F.floor(F.col("_a") / bucket_s))
+    met = own.join(s, (F.col("video_id") == F.col("_v")) & (F.col("_bucket") == F.col("_in")) & (F.col("_a") < F.col("t_end")) & (F.col("_b") > F.col("t_start")) & once, "left")
     parts = F.array_sort(F.collect_list(F.when(F.col("_text").isNotNull(), F.struct("_a", "_id", "_text"))))
     return met.groupBy("unit_id", "video_id").agg(F.array_join(F.transform(parts, lambda x: x["_text"]), " ").alias("text"))
 
 
-def postings(texts: DataFrame, key: str = "unit_id") -> DataFrame:
+def token_places(texts: DataFrame, key: str = "unit_id") -> DataFrame:
     """key, position, term: every token of every text."""
     return texts.select(key, F.posexplode(tokens(F.col("text"))).alias("position", "term"))
 
 
+def postings(texts: DataFrame, key: str = "unit_id") -> DataFrame:
+    """key, term, tf, positions: a row for each term of each text."""
+    lists = token_places(texts, key).groupBy(key, "term").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    return lists.select(key, "term", F.size("positions").cast("long").alias("tf"), "positions")
+
+
 def document_lengths(texts: DataFrame, key: str = "unit_id") -> DataFrame:
     """key, n_terms of every text, those without tokens too."""
     return texts.select(key, F.size(tokens(F.col("text"))).cast("long").alias("n_terms"))
@@ -31,17 +47,38 @@ def document_lengths(texts: DataFrame, key: str = "unit_id") -> DataFrame:
 
 def term_stats(texts: DataFrame, key: str = "unit_id") -> DataFrame:
     """term, n_docs, n_occurrences."""
-    return postings(texts, key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_occurrences"))
+    return token_places(texts, key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_occurrences"))
 
 
 def empty_count(texts: DataFrame) -> DataFrame:
     return texts.agg(F.count(F.lit(1)).alias("n_units"), F.count_if(strip(F.col("text")) == "").alias("n_empty"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """What a search reads: postings (key, term, tf, positions) and lengths (key, n_terms and what units carry besides)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    key: str = "unit_id"
+
+
+def index_of(texts: DataFrame, key: str = "unit_id") -> Index:
+    """An index that is made of the texts whenever it is read; a query needs the terms that it asks for only."""
+    return Index(postings(texts, key), texts.select("*", F.size(tokens(F.col("text"))).cast("long").alias("n_terms")).drop("text"), key)
+
+
 def build_index(texts: DataFrame, path: str) -> int:
-    """Writes postings and lengths in place of any older index; returns the number of units."""
-    lists = postings(texts).groupBy("term", "unit_id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    lists.repartitionByRange("term").sortWithinPartitions("term", "unit_id").write.mode("overwrite").parquet(f"{path}/postings")
+    """Writes postings and lengths in place of any older index; returns the number of units.
+
+    Postings are sorted by term over all files, so a reader of few terms skips most row groups by their bounds.
+    """
+    postings(texts).repartitionByRange("term", "unit_id").sortWithinPartitions("term", "unit_id").write.mode("overwrite").parquet(f"{path}/postings")
     lengths = texts.select("unit_id", "video_id", F.size(tokens(F.col("text"))).cast("long").alias("n_terms"))
     lengths.write.mode("overwrite").parquet(f"{path}/index_units")
-    return lengths.count()
+    return read_index(texts.sparkSession, path).lengths.count()
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """The index that build_index() wrote; raises if there is none."""
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/index_units"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import ACCENTED, PLAIN, split_words, tokens
 from tidemark.operators.intervals import merge_spans
-from tidemark.plans.index import document_lengths, postings
+from tidemark.plans.index import Index
 from tidemark.settings import Retrieval
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -31,25 +31,59 @@ def phrases_of(queries: DataFrame, text: Column) -> DataFrame:
     return terms.select("qid", "phrase", F.posexplode(tokens(F.col("word"))).alias("at", "term"))
 
 
-def phrase_matches(phrases: DataFrame, index: DataFrame, key: str = "unit_id") -> DataFrame:
-    """qid, phrase, key, f: how often each phrase occurs with its tokens side by side.
+def phrase_texts(phrases: DataFrame) -> DataFrame:
+    """qid, phrase, words of every phrase: its tokens joined by one space, which no token has."""
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]), " ")
+    return phrases.groupBy("qid", "phrase").agg(words.alias("words"))
 
-    Positions moved back by the token's place in its phrase meet in one start where all of them are adjacent.
-    """
-    sized = phrases.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("qid", "phrase")))
-    starts = sized.join(index, "term").groupBy("qid", "phrase", "m", key, (F.col("position") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("met"))
-    return starts.where("met = m").groupBy("qid", "phrase", key).agg(F.count(F.lit(1)).alias("f"))
 
+def word_matches(words: DataFrame, index: Index, *, several: bool = True) -> DataFrame:
+    """words, key, f of distinct phrases (words): how often each occurs with its tokens side by side.
 
-def bm25(matches: DataFrame, lengths: DataFrame, key: str = "unit_id") -> DataFrame:
-    """qid, key, score (6 decimals). Texts without tokens count in the number and the mean length of texts."""
-    n_docs = lengths.agg(F.count(F.lit(1))).scalar()
-    mean = lengths.agg(F.avg("n_terms")).scalar()
-    found = matches.groupBy("qid", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    A phrase of one token is a list of postings. A longer one is looked for where its rarest token is: its other tokens
+    meet those texts by term and text, so a common token is never read for every phrase that has it, and positions moved
+    back by a token's place meet where all tokens are adjacent. several: whether any phrase may have several tokens.
+    """
+    key = index.key
+    split = words.select("words").distinct().withColumn("terms", F.split("words", " "))
+    lists = index.postings
+    single = split.where(F.size("terms") == 1).select("words", F.col("words").alias("term")).join(lists.select("term", key, "tf"), "term").select("words", key, F.col("tf").alias("f"))
+    if not several:
+        return single
+    tokens_of = split.where(F.size("terms") > 1).select("words", F.size("terms").alias("m"), F.posexplode("terms").alias("at", "term"))
+    asked = tokens_of.select("term").distinct()
+    found = lists.select("term").join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = tokens_of.join(found, "term").groupBy("words").agg(F.min_by("term", "n").alias("term"), F.count_if(F.col("n") > 0).alias("known"), F.first("m").alias("m")).where("known = m")
+    places = rarest.select("words", "term").join(lists.select("term", key), "term").select("words", key)
+    met = places.join(tokens_of, "words").join(lists.select("term", key, "positions"), ["term", key])
+    starts = F.transform("positions", lambda x: x - F.col("at"))
+    together = met.groupBy("words", key).agg(F.collect_list(starts).alias("starts"), F.first("m").alias("m")).where(F.size("starts") == F.col("m"))
+    f = F.size(F.aggregate(F.slice("starts", 2, 1_000_000), F.get("starts", F.lit(0)), F.array_intersect)).cast("long")
+    return single.unionByName(together.select("words", key, f.alias("f")).where("f > 0"))
+
+
+def phrase_matches(phrases: DataFrame, index: Index) -> DataFrame:
+    """qid, phrase, key, f of every phrase; phrases of the same tokens are looked for once."""
+    texts = phrase_texts(phrases)
+    return texts.join(word_matches(texts, index), "words").select("qid", "phrase", index.key, "f")
+
+
+def bm25(phrases: DataFrame, index: Index, *, several: bool = True) -> DataFrame:
+    """qid, key, score (6 decimals). Texts without tokens count in the number and the mean length of texts.
+
+    What a phrase adds to a text is the same for every query, so it is computed once and counts as often as the query
+    has the phrase.
+    """
+    key, lengths = index.key, index.lengths.select(index.key, "n_terms")
+    texts = phrase_texts(phrases).groupBy("qid", "words").agg(F.count(F.lit(1)).alias("times"))
+    matches = word_matches(texts, index, several=several)
+    corpus = lengths.agg(F.struct(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("mean"))).scalar()
+    n_docs, mean = corpus["n_docs"], corpus["mean"]
+    found = matches.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
     idf = F.ln((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
     part = F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_terms") / mean))
-    scored = matches.join(found, ["qid", "phrase"]).join(lengths, key)
-    return scored.groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("score"))
+    parts = matches.join(found, "words").join(lengths, key).select("words", key, part.alias("part"))
+    return parts.join(texts, "words").groupBy("qid", key).agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, key: str = "unit_id") -> DataFrame:
@@ -63,21 +97,29 @@ def reciprocal_rank_fusion(rankings: DataFrame, key: str, rrf_k: int = 60) -> Da
     return rankings.groupBy(key).agg(F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), 9).alias("score"))
 
 
-def search_texts(spark: SparkSession, texts: DataFrame, query: str, k: int, video_id: str | None = None) -> DataFrame:
-    """unit_id, score, rank. A video filter comes after the statistics, which are those of the whole corpus."""
-    scores = bm25(phrase_matches(query_phrases(spark, query), postings(texts)), document_lengths(texts))
+def search_texts(spark: SparkSession, index: Index, query: str, k: int, video_id: str | None = None) -> DataFrame:
+    """unit_id, score, rank. A video filter comes after the statistics, which are those of the whole corpus.
+
+    The query's terms are literals in the filter of the postings, which a stored index answers from the row groups that
+    may hold them.
+    """
+    phrases = query_phrases(spark, query)
+    tokens_of = phrases.select("term", "at").collect()  # those of one query
+    terms = sorted({r["term"] for r in tokens_of})
+    few = Index(index.postings.where(F.col("term").isin(terms)), index.lengths, index.key)
+    scores = bm25(phrases, few, several=any(r["at"] for r in tokens_of))
     if video_id is not None:
-        scores = scores.join(texts.where(F.col("video_id") == video_id).select("unit_id"), "unit_id", "left_semi").select("qid", "unit_id", "score")
+        scores = scores.join(index.lengths.where(F.col("video_id") == video_id).select("unit_id"), "unit_id", "left_semi").select("qid", "unit_id", "score")
     best = scores.orderBy(F.desc("score"), "unit_id").limit(k)
     return top_k(best, k).select("unit_id", "score", "rank")
 
 
-def search_units(spark: SparkSession, texts: DataFrame, query: str, k: int, rrf_k: int = 60, video_id: str | None = None) -> DataFrame:
+def search_units(spark: SparkSession, index: Index, query: str, k: int, rrf_k: int = 60, video_id: str | None = None) -> DataFrame:
     """unit_id, score after fusion of the rankings, of which there is one for each index."""
-    return reciprocal_rank_fusion(search_texts(spark, texts, query, k, video_id), "unit_id", rrf_k)
+    return reciprocal_rank_fusion(search_texts(spark, index, query, k, video_id), "unit_id", rrf_k)
 
 
-def search(spark: SparkSession, units: DataFrame, texts: DataFrame, query: str, settings: Retrieval, video_id: str | None = None) -> DataFrame:
-    """Spans for a query. k bounds the units, so there are at most as many spans."""
-    scored = search_units(spark, texts, query, settings.top_k, settings.rrf_k, video_id)
+def search(spark: SparkSession, units: DataFrame, index: Index, query: str, settings: Retrieval, video_id: str | None = None) -> DataFrame:
+    """Spans for a query, from an index that is stored (read_index) or made of texts (index_of). k bounds the units, so there are at most as many spans."""
+    scored = search_units(spark, index, query, settings.top_k, settings.rrf_k, video_id)
     return merge_spans(units.join(F.broadcast(scored), "unit_id").select("video_id", "t_start", "t_end", "score", "unit_id"), settings.max_gap_s)  # at most top_k rows

@@ -62,6 +62,10 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return index.unit_texts(_clips(spark, d), _turns(spark, d))
 
 
+def _index(spark: SparkSession, d: str) -> index.Index:
+    return index.index_of(_texts(spark, d))
+
+
 def _seconds(spark: SparkSession, d: str) -> DataFrame:
     return corpus.event_seconds(table(spark, d, "events"))
 
@@ -141,22 +145,22 @@ def _listed(spans: DataFrame) -> DataFrame:
 @query(_SEARCH + f", {_BEST}, spans AS (SELECT video_id, t_start, t_end, round(1.0::DOUBLE / (60 + rank), 9) AS score, unit_id FROM best JOIN clips USING (unit_id)), " + _MERGE.format(gap=2.0, rows="spans"))
 def search_spans(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: from a query to ranked moments."""
-    return intervals.ranked_spans(_listed(retrieve.search(spark, _clips(spark, d), _texts(spark, d), QUERY, Retrieval())))
+    return intervals.ranked_spans(_listed(retrieve.search(spark, _clips(spark, d), _index(spark, d), QUERY, Retrieval())))
 
 
 @query(_SEARCH + f", {_BEST} SELECT unit_id, round(1.0::DOUBLE / (60 + rank), 9) AS score FROM best")
 def search_units(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.search_units(spark, _texts(spark, d), QUERY, 20)
+    return retrieve.search_units(spark, _index(spark, d), QUERY, 20)
 
 
 @query(_SEARCH + f", {_BEST} SELECT * FROM best")
 def search_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.search_texts(spark, _texts(spark, d), QUERY, 20)
+    return retrieve.search_texts(spark, _index(spark, d), QUERY, 20)
 
 
 @query(_SEARCH + " SELECT unit_id, score, row_number() OVER (ORDER BY score DESC, unit_id) AS rank FROM scores JOIN texts USING (unit_id) WHERE video_id = '7' QUALIFY rank <= 20")
 def search_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.search_texts(spark, _texts(spark, d), QUERY, 20, video_id="7")
+    return retrieve.search_texts(spark, _index(spark, d), QUERY, 20, video_id="7")
 
 
 #: Items of the benchmark as queries, their whole texts.
@@ -178,8 +182,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_ITEMS}, {_bm25_sql('docs', 'phrases')} SELECT qid, unit_id, score FROM scores")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = _documents(spark, d)
-    return retrieve.bm25(retrieve.phrase_matches(_item_phrases(spark, d), index.postings(docs)), index.document_lengths(docs))
+    return retrieve.bm25(_item_phrases(spark, d), index.index_of(_documents(spark, d)))
 
 
 @query(f"WITH {_ITEMS}, {_bm25_sql('docs', 'phrases')} SELECT qid, unit_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit_id) AS rank FROM scores QUALIFY rank <= 10")
@@ -189,7 +192,7 @@ def search_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_ITEMS}, {_bm25_sql('docs', 'phrases')} SELECT qid, unit_id, count(*) AS n_phrases, CAST(sum(f) AS BIGINT) AS n_matches FROM found GROUP BY qid, unit_id")
 def match_any(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieve.phrase_matches(_item_phrases(spark, d), index.postings(_documents(spark, d)))
+    found = retrieve.phrase_matches(_item_phrases(spark, d), index.index_of(_documents(spark, d)))
     return found.groupBy("qid", "unit_id").agg(F.count(F.lit(1)).alias("n_phrases"), F.sum("f").alias("n_matches"))
 
 
@@ -200,24 +203,24 @@ def match_phrase(spark: SparkSession, d: str) -> DataFrame:
     """Each three tokens of each item as a phrase."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(tokens(F.col("text"))).alias("i", "term"))
     phrases = items.select("qid", F.floor(F.col("i") / 3).alias("phrase"), (F.col("i") % 3).alias("at"), "term")
-    return retrieve.phrase_matches(phrases, index.postings(_documents(spark, d))).select("qid", "phrase", "unit_id", "f")
+    return retrieve.phrase_matches(phrases, index.index_of(_documents(spark, d))).select("qid", "phrase", "unit_id", "f")
 
 
 _RANKS = r"""
     ranked AS (
-        SELECT 'chars' AS list, lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50
+        SELECT 'chars' AS list, lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents
         UNION ALL
-        SELECT 'words', lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50
+        SELECT 'words', lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) DESC, doc_id) AS rank FROM documents
     )
 """
 
 
 @query(f"WITH {_RANKS} SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ranked GROUP BY doc_id")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    """Two rankings of each language, fused."""
+    """Two whole rankings of each language, fused."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", word_count(F.col("text")).alias("n_words"))
     lists = [
-        docs.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(c), "doc_id")).alias("rank")).where("rank <= 50") for c in ("n_chars", "n_words")
+        docs.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(c), "doc_id")).alias("rank")) for c in ("n_chars", "n_words")
     ]
     return retrieve.reciprocal_rank_fusion(lists[0].unionByName(lists[1]), "doc_id").orderBy(F.desc("score"), "doc_id")
 
@@ -240,7 +243,7 @@ def units_per_video(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, i - 1 AS position, t[i] AS term FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents), unnest(range(1, len(t) + 1)) AS r(i)")
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
-    return index.postings(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("position").cast("long").alias("position"), "term")
+    return index.token_places(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("position").cast("long").alias("position"), "term")
 
 
 @query(f"""WITH p AS (SELECT doc_id, unnest({_tokens_sql("text")}) AS term FROM documents)

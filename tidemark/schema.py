@@ -21,6 +21,7 @@ VERSIONS: list[dict[str, str]] = [
         "stage_runs": "id long, video_id string, pass_name string, status string, config_hash string, started_at double, ended_at double, rows_out long, peak_mb double, error string",
     },
     {"postings": "term string, unit_id long, positions array<int>", "index_units": "unit_id long, video_id string, n_terms long"},
+    {"postings": "term string, unit_id long, tf long, positions array<int>"},
 ]
 
 #: child column -> parent key, and what happens when the parent goes.
