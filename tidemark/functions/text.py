@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values.
 CLOSING = "\"'”’)]»"
 TERMINAL = ".!?…"
-ACCENTED, PLAIN = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+#: Blocks of code points whose letters may have accents: Latin-1 to Latin Extended-B, Greek, Cyrillic, Latin Extended Additional, Greek Extended.
+_BLOCKS = ((0x00C0, 0x0250), (0x0370, 0x0530), (0x1E00, 0x2000))
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case letters that are a letter and marks by canonical decomposition, and those letters."""
+    pairs = {}
+    for a, b in _BLOCKS:
+        for c in map(chr, range(a, b)):
+            base, *marks = unicodedata.normalize("NFD", c)
+            if c == c.lower() and marks and all(map(unicodedata.combining, marks)) and base.isalpha():
+                pairs[c] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
+ACCENTED, PLAIN = _accents()
 
 
 def strip(text: Column) -> Column:
@@ -30,8 +48,8 @@ def ends_sentence(word: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the accents of Latin-1 letters."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents, of letters that carry them and of marks that follow a letter."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{M}+", "")
 
 
 def tokens(text: Column) -> Column:

@@ -82,3 +82,8 @@ def build_index(texts: DataFrame, path: str) -> int:
 def read_index(spark: SparkSession, path: str) -> Index:
     """The index that build_index() wrote; raises if there is none."""
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/index_units"))
+
+
+def index_corpus(units: DataFrame, sentences: DataFrame, path: str, *, level: int = 0) -> int:
+    """The index of all units of a level, built whole; returns the number of units. Without units it is an empty index."""
+    return build_index(unit_texts(units.where(F.col("level") == level), sentences), path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def query_phrases(spark: SparkSession, query: str) -> DataFrame:
     """qid, phrase, at, term of one query: each white-space separated term is a phrase of its tokens; quotes are blanks."""
     rows = []
     for phrase, term in enumerate(query.replace('"', " ").split()):
-        for at, token in enumerate(re.findall(r"[^\W_]+", term.lower().translate(_FOLD))):
+        for at, token in enumerate(re.findall(r"[^\W_]+", "".join(c for c in term.lower().translate(_FOLD) if not unicodedata.category(c).startswith("M")))):
             rows.append((0, phrase, at, token))
     return spark.createDataFrame(rows, "qid long, phrase int, at int, term string")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import media
 from tidemark.functions import text as words_of
 from tidemark.functions.media import probe_info, sample_range
-from tidemark.functions.text import normalize_word, tokens, word_count
-from tidemark.operators import intervals, segment, speech, stages
+from tidemark.functions.text import encode_word, normalize_word, tokens, word_count
+from tidemark.operators import align, intervals, segment, speech, stages
 from tidemark.plans import index, retrieve
-from tidemark.schema import orphans
+from tidemark.schema import orphans, removed
 from tidemark.settings import Clips, Retrieval, Scenes, Settings, Speech
 from tidemark.sources import corpus
 from tidemark.sources.corpus import table
@@ -105,7 +106,7 @@ _CLIPS = f"""{_WORDS}, clips AS MATERIALIZED (
 
 
 def _tokens_sql(text: str) -> str:
-    return rf"regexp_extract_all(translate(lower({text}), 'àâäáãåçèéêëìíîïñòóôöõùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{{L}}\p{{N}}]+')"
+    return rf"regexp_extract_all(strip_accents(lower({text})), '[\p{{L}}\p{{N}}]+')"
 
 
 def _bm25_sql(texts: str, phrases: str) -> str:
@@ -502,6 +503,28 @@ def encode_words(spark: SparkSession, d: str) -> DataFrame:
     return encoded.select("video_id", "word_no", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
+_SPELT = f"""{_WORDS}, spelt AS (
+        SELECT video_id, word_no // 8 AS part, word_no, t_start, list_transform(list_filter(string_split(regexp_replace(lower(text), '[^a-z\'\']', '', 'g'), ''), lambda c: c <> ''), lambda c: CASE WHEN c = '\'\'' THEN 1 ELSE ascii(c) - 95 END) AS ids FROM words
+    ), letters AS (SELECT video_id, part, word_no, i, ids[i] AS id FROM spelt, unnest(range(1, len(ids) + 1)) AS r(i)),
+    framed AS (SELECT *, 2 + coalesce(sum(id % 3 + 2) OVER (PARTITION BY video_id, part ORDER BY word_no, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM letters),
+    began AS (SELECT video_id, part, min(t_start) AS t FROM spelt GROUP BY video_id, part)"""
+
+
+@query(f"""WITH {_SPELT} SELECT video_id, word_no, round(t + min(first) * 0.02::DOUBLE, 6) AS t_start, round(t + max(first + id % 3 + 1) * 0.02::DOUBLE, 6) AS t_end FROM framed JOIN began USING (video_id, part) GROUP BY video_id, word_no, t""")
+def force_align(spark: SparkSession, d: str) -> DataFrame:
+    """Each eight words against scores that favour one class a frame: a letter for one to three frames by its id, then a blank."""
+    words = _words(spark, d).withColumn("ids", encode_word(F.col("text"), F.create_map(*(F.lit(x) for pair in LETTERS.items() for x in pair))))
+    rows = words.groupBy("video_id", F.floor(F.col("word_no") / 8)).agg(F.min("t_start").alias("t_offset"), F.array_sort(F.collect_list(F.struct("word_no", "ids"))).alias("w"))
+    letters = F.flatten(F.transform(F.flatten("w.ids"), lambda i: F.concat(F.array_repeat(i, i % 3 + 1), F.array(F.lit(0)))))
+    rows = rows.withColumn("frames", F.concat(F.array(F.lit(0), F.lit(0)), letters)).withColumn("n_frames", F.size("frames"))
+    scores = F.flatten(F.transform("frames", lambda f: F.transform(F.sequence(F.lit(0), F.lit(len(LETTERS))), lambda c: F.when(c == f, -0.1).otherwise(-5.0).cast("float"))))
+    windows = rows.select(
+        F.transform("w", lambda x: F.struct("video_id", x["word_no"].alias("word_no"))).alias("word_ids"), F.col("w.ids").alias("tokens"), scores.alias("scores"), "n_frames", (F.col("n_frames") * 320).alias("n_samples"), "t_offset"
+    )
+    found = speech.aligned_updates(align.force_align(windows))
+    return found.select("word_id.*", F.round("new_start", 6).alias("t_start"), F.round("new_end", 6).alias("t_end"))
+
+
 # --- stages, integrity, scalars -----------------------------------------------------------------------------------
 
 _RUNS = "runs AS (SELECT o_orderkey AS id, o_custkey AS video_id, o_orderpriority AS pass_name, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, 'h' || CAST(year(o_orderdate) AS VARCHAR) AS config_hash FROM orders)"
@@ -533,11 +556,30 @@ def stage_rows_out(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT 'labels.doc_id' AS reference, CAST(doc_id AS BIGINT) AS missing FROM labels WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)
     UNION ALL SELECT 'orders.o_custkey', o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
-    UNION ALL SELECT 'customer.without_orders', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+    UNION ALL SELECT 'customer.without_orders', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+    UNION ALL SELECT 'documents.unlabelled', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)
+    UNION ALL SELECT 'events.user_id', user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)""")
 def fk_violations(spark: SparkSession, d: str) -> DataFrame:
     checks = [("labels.doc_id", "labels", "doc_id", "documents", "doc_id"), ("orders.o_custkey", "orders", "o_custkey", "customer", "c_custkey"), ("customer.without_orders", "customer", "c_custkey", "orders", "o_custkey")]
+    checks += [("documents.unlabelled", "documents", "doc_id", "labels", "doc_id"), ("events.user_id", "events", "user_id", "customer", "c_custkey")]
     parts = [orphans(table(spark, d, child), table(spark, d, parent), column, key).select(F.lit(name).alias("reference"), F.col(column).cast("long").alias("missing")) for name, child, column, parent, key in checks]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""WITH gone AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3), lost AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM gone))
+    SELECT 'videos' AS name, count(*) AS n, 0::BIGINT AS n_null FROM customer WHERE c_custkey NOT IN (FROM gone)
+    UNION ALL SELECT 'units', count(*), count(*) FILTER (WHERE (o_orderkey // 2) IN (FROM lost)) FROM orders WHERE o_custkey NOT IN (FROM gone)
+    UNION ALL SELECT 'captions', count(*), 0 FROM lineitem WHERE l_orderkey NOT IN (FROM lost)""")
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as videos, orders as units (the parent is the unit of half the number), line items as captions; one nation's videos go."""
+    held = {
+        "videos": table(spark, d, "customer").select(F.col("c_custkey").alias("video_id"), "c_nationkey"),
+        "units": table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("video_id"), F.floor(F.col("o_orderkey") / 2).alias("parent_id")),
+        "captions": table(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("id"), F.col("l_orderkey").alias("unit_id")),
+    }
+    left = removed(held, "videos", held["videos"].where("c_nationkey = 3").select("video_id"))
+    rows = [left[x].agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("parent_id").isNull()) if x == "units" else F.lit(0).cast("long")).alias("n_null")).select(F.lit(x).alias("name"), "n", "n_null") for x in held]
+    return reduce(DataFrame.unionByName, rows)
 
 
 _RATE = "CAST(l_quantity * 1000 AS BIGINT) || '/' || CAST(CAST(round(l_tax * 100) AS BIGINT) * 1001 AS VARCHAR)"

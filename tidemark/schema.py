@@ -7,6 +7,7 @@ schema with nulls where they lack a column.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 VERSIONS: list[dict[str, str]] = [
@@ -51,3 +52,29 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, column: str, key: str) -> DataFrame:
     """Rows whose reference has no parent; a null reference isn't one."""
     return child.where(f"{column} IS NOT NULL").join(parent.select(parent[key].alias(column)).distinct(), column, "left_anti")
+
+
+def removed(tables: dict[str, DataFrame], table: str, keys: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the rows of `table` whose key is among `keys` (one column), and what hangs from those rows.
+
+    Children whose reference cascades go with their parents, as far down as references lead; a reference that is set null
+    loses its value. Each step is an anti or semi join on the key; tables that no reference reaches are as they were.
+    """
+    out, key = dict(tables), keys.columns[0]
+    waiting = [(table, key, keys)]
+    while waiting:
+        name, column, gone = waiting.pop(0)
+        gone = gone.select(F.col(gone.columns[0]).alias(column)).distinct()
+        rows = out[name]
+        lost = rows.join(gone, column, "left_semi")
+        out[name] = rows.join(gone, column, "left_anti").select(*rows.columns)
+        for (child, reference), (parent, parent_key, then) in REFERENCES.items():
+            if parent != name or child not in out:
+                continue
+            parents = lost.select(F.col(parent_key).alias(reference)).distinct()
+            if then == "cascade":
+                waiting.append((child, reference, parents))
+            else:
+                marked = out[child].join(parents.withColumn("_gone", F.lit(True)), reference, "left")
+                out[child] = marked.withColumn(reference, F.when(F.col("_gone").isNull(), F.col(reference))).select(*out[child].columns)
+    return out

@@ -71,11 +71,20 @@ class Settings:
         }[name]
 
 
+def _parsed(path: Path) -> dict[str, Any]:
+    if path.suffix in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ImportError("settings in YAML need the package yaml; JSON needs none") from e
+        return yaml.safe_load(path.read_text()) or {}
+    return json.loads(path.read_text())
+
+
 def load_settings(path: str | Path) -> Settings:
-    """Settings from a JSON file with any of the groups of fields; what isn't given keeps its default."""
-    given = json.loads(Path(path).read_text())
+    """Settings from a JSON or YAML file with any of the groups of fields; what isn't given keeps its default."""
     groups = {"clips": Clips, "scenes": Scenes, "speech": Speech, "retrieval": Retrieval}
-    return Settings(**{k: groups[k](**v) if k in groups else v for k, v in given.items()})
+    return Settings(**{k: groups[k](**(v or {})) if k in groups else v for k, v in _parsed(Path(path)).items()})
 
 
 def config_hash(config: dict[str, Any]) -> str:

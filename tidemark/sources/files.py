@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import subprocess
 import wave
 from collections.abc import Callable, Iterator
 from fnmatch import fnmatch
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.media import probe_info
+from tidemark.operators.stages import StageLog
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -85,6 +88,73 @@ def copy_allowed(names: list[str], ignored: list[str]) -> list[str]:
     return [x for x in names if not any(fnmatch(x, p) for p in ignored)]
 
 
+#: Never copied out of a corpus.
+PRIVATE = ("cookies*", "*.key", "*.tmp", "_temporary*", ".*")
+
+
+def copy_corpus(spark: SparkSession, source: str, target: str, *, patterns: tuple[str, ...] = ("*",), ignored: tuple[str, ...] = PRIVATE) -> list[str]:
+    """Copies the files below one shared folder whose path or name matches a pattern to another; returns their paths.
+
+    Both may be on any file system that Hadoop knows. Each file is copied under a name of its own that
+    is renamed when it is whole, so a reader of the target never sees a part of one. A target's other files stay.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(source)
+    system = root.getFileSystem(conf)
+    if not system.exists(root):
+        raise FileNotFoundError(source)
+    base, names, files = system.makeQualified(root).toString().rstrip("/"), [], system.listFiles(root, True)
+    while files.hasNext():
+        names.append(files.next().getPath().toString()[len(base) + 1 :])
+    allowed = {x for x in copy_allowed(names, list(ignored)) if not any(fnmatch(part, p) for part in x.split("/") for p in ignored)}
+    chosen = sorted(x for x in allowed if any(fnmatch(x, p) or fnmatch(x.rsplit("/", 1)[-1], p) for p in patterns))
+    to = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(conf)
+    for name in chosen:
+        whole, part = (jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{name}{x}") for x in ("", ".part"))
+        jvm.org.apache.hadoop.fs.FileUtil.copy(system, jvm.org.apache.hadoop.fs.Path(f"{base}/{name}"), to, part, False, True, conf)
+        to.delete(whole, False)
+        to.rename(part, whole)
+    return chosen
+
+
+def fetch_options(cookies_file: str | None = None, **more: object) -> dict[str, object]:
+    """Options of a fetcher: quiet, no playlists, cookies only where a file is named; what is given wins."""
+    own: dict[str, object] = {"quiet": True, "noplaylist": True} | ({"cookiefile": cookies_file} if cookies_file else {})
+    return own | more
+
+
+def run_command(command: list[str]) -> str:
+    """What a program writes; RuntimeError with the end of its messages where it fails."""
+    done = subprocess.run(command, capture_output=True, text=True, check=False)
+    if done.returncode:
+        raise RuntimeError(f"{command[0]} ended with {done.returncode}: {done.stderr[-2000:]}")
+    return done.stdout
+
+
+def ingest(spark: SparkSession, urls: list[str], log: StageLog, config_hash: str, fetch: Callable[[str], dict], path: str) -> DataFrame:
+    """Runs `fetch` for the URLs that aren't done: url, status, error, rows_out of what this run did.
+
+    fetch gives a JSON-like dictionary for a URL, or raises; one URL that fails is logged and the others go on. Each
+    result is a row (video_id: the URL, info: JSON) at `path`. A URL that was ingested with these settings is skipped.
+    """
+
+    def work(todo: DataFrame) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for url in batch.column(0).to_pylist():
+                    try:
+                        rows.append((url, json.dumps(fetch(url), sort_keys=True), None))
+                    except Exception as e:  # one bad item mustn't end the run
+                        rows.append((url, None, f"{type(e).__name__}: {e}"[:2000]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], names=["video_id", "info", "error"])
+
+        return todo.mapInArrow(each, "video_id string, info string, error string")
+
+    listed = spark.createDataFrame([(x,) for x in dict.fromkeys(urls)], "video_id string")
+    return log.run(listed, "ingest", config_hash, work, path).withColumnRenamed("video_id", "url")
+
+
 class Layout:
     """Where a corpus keeps its parts."""
 
