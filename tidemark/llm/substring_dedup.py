@@ -3,7 +3,7 @@
 Two passes decide which windows repeat, and neither compares documents with each other. First each window names its
 anchor, the run of ANCHOR words with the least hash in it: equal windows have equal anchors, and about one word in
 fourteen starts an anchor, so few keys are exchanged. Only windows with an anchor that occurs twice can repeat; their
-128-bit hashes are exchanged in the second pass. Documents of equal words are one document for the second pass.
+128-bit hashes, two independent ones of 64 bits, are exchanged in the second pass. Documents of equal words are one document for the second pass.
 
 Suffix automata of reference shards, broadcast to all documents, compare every shard with every document; they are in
 suffix_automaton.py for a reference of bounded size. README.md has the figures.
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, map_arrow, slices
 from tidemark.llm.exact_dedup import BUCKETS
 from tidemark.llm.exchange import FLUSH, HELD, HELD_NAMES, Held, parts_for, repeated_places
-from tidemark.llm.words import _SECOND_BASE, Words, runs
+from tidemark.llm.words import Words, grams
 
 ANCHOR = 10
+#: An anchor that occurs more often doesn't decide where its windows go: equal windows have equal anchors, so all agree.
+COMMON = 500
 _PLACE_BITS, _BLOCK = 24, 1 << 22
 _SLICE = 500_000
 
@@ -34,21 +36,20 @@ def anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
     at = words.windows(window)
     if not len(at):
         return at, at, hashes
-    last = len(hashes) - size + 1
-    grams = runs(hashes, np.arange(last), np.arange(last) + size)
+    own_grams = grams(hashes, size)
     span, chosen = window - size + 1, []
     for first in range(0, len(at), _BLOCK):  # windows whose places fit in the low bits
         own = at[first : first + _BLOCK]
         low, high = own[0], own[-1] + span
         # The place in the low bits makes the leftmost of equal anchors the least.
-        least = grams[low:high] >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS) | np.arange(high - low, dtype=np.uint64)
+        least = own_grams[low:high] >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS) | np.arange(high - low, dtype=np.uint64)
         width = 1
         while width * 2 <= span:
             least = np.minimum(least[: len(least) - width], least[width:])
             width *= 2
         least = np.minimum(least[own - low], least[own - low + span - width])
         chosen.append((least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64) + low)
-    return at, np.concatenate(chosen), grams
+    return at, np.concatenate(chosen), own_grams
 
 
 def _doc_of(words: Words, at: np.ndarray) -> np.ndarray:
@@ -61,10 +62,10 @@ def _first_pass(window: int, parts: int):
         held = Held(parts)
         for rids, data, rows in slices(batches, _SLICE):
             words = Words(data)
-            at, start, grams = anchors(words, words.hashes(), window)
+            at, start, named = anchors(words, words.hashes(), window)
             starts = np.unique(start)
             if len(starts):
-                held.add(rids, grams[starts], none, _doc_of(words, starts), np.zeros(len(starts), np.int64), np.zeros(len(starts), bool))
+                held.add(rids, named[starts], none, _doc_of(words, starts), np.zeros(len(starts), np.int64), np.zeros(len(starts), bool))
             whole = [hashlib.sha256(b" ".join((x or b"").split())).digest() for x in data]
             yield _batch(len(rids), rid=pa.array(rids, pa.binary()), id=rows.column(rows.schema.get_field_index("id")), n_words=pa.array(words.sizes, pa.int64()), sha=pa.array(whole, pa.binary()), kind_of_row=pa.array([0] * len(rids), pa.int32()))
             if held.size >= FLUSH:
@@ -96,17 +97,24 @@ def _second_pass(window: int, parts: int):
         for rids, data, rows in slices(batches, _SLICE):
             words = Words(data)
             hashes = words.hashes()
-            at, start, grams = anchors(words, hashes, window)
-            doc, chosen = _doc_of(words, at), []
+            at, start, named = anchors(words, hashes, window)
+            doc, chosen, often = _doc_of(words, at), [], []
             bounds = np.searchsorted(doc, np.arange(len(rids) + 1))
-            for k, own in enumerate(rows.column(rows.schema.get_field_index("values")).to_pylist()):
+            for k, own in enumerate(rows.column(rows.schema.get_field_index("lists")).to_pylist()):
                 a, b = bounds[k], bounds[k + 1]
-                chosen.append(np.flatnonzero(np.isin(grams[start[a:b]], np.frombuffer(b"".join(own), "<u8"))) + a)
-            chosen = np.concatenate(chosen)
+                values, totals = (np.frombuffer(b"".join(x[c] for x in own), t) for c, t in (("values", "<u8"), ("totals", "<u4")))
+                values, first = np.unique(values, return_index=True)
+                place = np.minimum(np.searchsorted(values, named[start[a:b]]), max(len(values) - 1, 0))
+                hit = np.flatnonzero(values[place] == named[start[a:b]]) if len(values) else np.zeros(0, np.int64)
+                chosen.append(hit + a)
+                often.append(totals[first][place[hit]])
+            chosen, often = np.concatenate(chosen), np.concatenate(often)
             if len(chosen):
                 first, own = at[chosen], doc[chosen]
                 several = np.array(rows.column(rows.schema.get_field_index("several")).to_pylist(), bool)[own]
-                held.add(rids, runs(hashes, first, first + window), runs(hashes, first, first + window, _SECOND_BASE), own, first - words.first[own], several, grams[start[chosen]])
+                high, low = grams(hashes, window)[first], grams(words.hashes(1), window, 1)[first]
+                # Windows of one anchor stay together, so that their places compress; those of a common one are dealt by their own hash.
+                held.add(rids, high, low, own, first - words.first[own], several, np.where(often > COMMON, high, named[start[chosen]]))
             if held.size >= FLUSH:
                 yield held.rows()
                 held = Held(parts)
@@ -152,7 +160,9 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, with_text: bool = Fal
 
     A word is a run of anything but space and 0x09-0x0D. It goes if a run of `window` words around it starts at another
     place too, in this document or another. A null text has no words. Rows that repeat a doc_id are documents of their
-    own, so two equal rows remove each other's words.
+    own, so two equal rows remove each other's words. A text of any length is read whole; one longer than a slice is a step
+    of its own. Windows aren't ranked, so there are no ties. An empty table gives no rows; columns but doc_id and text are
+    left behind.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
@@ -161,16 +171,16 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, with_text: bool = Fal
     parts = parts_for(words_about // 60)
     first = scratch.table(map_arrow(rows, _first_pass(window, parts), _FIRST), "first")
     base = first.where("kind_of_row = 0").select("rid", F.col("id").alias("doc_id"), "n_words", "sha")
-    found = repeated_places(first.where("kind_of_row = 1").select(*HELD_NAMES), ["values"], 16)
-    repeated_anchors = scratch.table(found.groupBy("rid").agg(F.flatten(F.collect_list("lists.values")).alias("values")), "anchors")
+    found = repeated_places(first.where("kind_of_row = 1").select(*HELD_NAMES), ["values", "totals"], 16)
+    repeated_anchors = scratch.table(found.groupBy("rid").agg(F.flatten(F.collect_list("lists")).alias("lists")), "anchors")
     classes = scratch.table(base.where(F.col("n_words") >= window).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rep")).where("n > 1"), "classes")
 
     marked = base.join(classes, "sha", "left")
     wanted = marked.where("n IS NULL OR rid = rep").groupBy("rid").agg(F.max(F.col("n").isNotNull()).alias("several")).join(repeated_anchors, "rid")
-    wanted = scratch.table(wanted.select(F.col("rid").alias("doc_id"), "several", "values"), "wanted")
+    wanted = scratch.table(wanted.select(F.col("rid").alias("doc_id"), "several", "lists"), "wanted")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
     near = rows.select("doc_id", "text").join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")  # at most BUCKETS rows
-    held = scratch.table(near.join(wanted, "doc_id").select("doc_id", "text", "several", "values").dropDuplicates(["doc_id"]), "held")
+    held = scratch.table(near.join(wanted, "doc_id").select("doc_id", "text", "several", "lists").dropDuplicates(["doc_id"]), "held")
 
     keys = scratch.table(map_arrow(held, _second_pass(window, parts), HELD), "keys")
     places = repeated_places(keys, ["places"], 16).select(F.col("rid").alias("doc_id"), F.col("lists.places").alias("places"))
