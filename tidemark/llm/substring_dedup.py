@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, map_arrow, slices
 from tidemark.llm.exact_dedup import BUCKETS
 from tidemark.llm.exchange import FLUSH, HELD, HELD_NAMES, Held, parts_for, repeated_places
-from tidemark.llm.words import Words, grams
+from tidemark.llm.words import Words, grams, mix
 
 ANCHOR = 10
 #: An anchor that occurs more often doesn't decide where its windows go: equal windows have equal anchors, so all agree.
@@ -65,7 +65,7 @@ def _first_pass(window: int, parts: int):
             at, start, named = anchors(words, words.hashes(), window)
             starts = np.unique(start)
             if len(starts):
-                held.add(rids, named[starts], none, _doc_of(words, starts), np.zeros(len(starts), np.int64), np.zeros(len(starts), bool))
+                held.add(rids, named[starts], none, _doc_of(words, starts), np.zeros(len(starts), np.int64), np.zeros(len(starts), bool), mix(named[starts]))
             whole = [hashlib.sha256(b" ".join((x or b"").split())).digest() for x in data]
             yield _batch(len(rids), rid=pa.array(rids, pa.binary()), id=rows.column(rows.schema.get_field_index("id")), n_words=pa.array(words.sizes, pa.int64()), sha=pa.array(whole, pa.binary()), kind_of_row=pa.array([0] * len(rids), pa.int32()))
             if held.size >= FLUSH:
@@ -113,8 +113,8 @@ def _second_pass(window: int, parts: int):
                 first, own = at[chosen], doc[chosen]
                 several = np.array(rows.column(rows.schema.get_field_index("several")).to_pylist(), bool)[own]
                 high, low = grams(hashes, window)[first], grams(words.hashes(1), window, 1)[first]
-                # Windows of one anchor stay together, so that their places compress; those of a common one are dealt by their own hash.
-                held.add(rids, high, low, own, first - words.first[own], several, np.where(often > COMMON, high, named[start[chosen]]))
+                # An anchor is a least hash, so it is mixed anew. Windows of one anchor stay together, so that their places compress; those of a common one are dealt by their own hash.
+                held.add(rids, high, low, own, first - words.first[own], several, np.where(often > COMMON, high, mix(named[start[chosen]])))
             if held.size >= FLUSH:
                 yield held.rows()
                 held = Held(parts)
