@@ -36,9 +36,12 @@ def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def _pieces(path: str, capacity: int):
     def run(batches):
         for ids, data, _ in slices(batches, keep=CACHE):
-            out = []
-            for doc_id, encoded in zip(ids, document_ids(data, path), strict=True):
-                out += [(doc_id, k, at, n, zlib.crc32(encoded[4 * at : 4 * (at + n)])) for k, (at, n) in enumerate(piece_bounds(len(encoded) // 4, capacity))]
+            out, begin = [], 0
+            tokens, ends = document_ids(data, path)
+            encoded = memoryview(tokens.astype("<u4").tobytes())
+            for doc_id, end in zip(ids, ends.tolist(), strict=True):
+                out += [(doc_id, k, at, n, zlib.crc32(encoded[4 * (begin + at) : 4 * (begin + at + n)])) for k, (at, n) in enumerate(piece_bounds(end - begin, capacity))]
+                begin = end
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

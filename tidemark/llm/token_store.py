@@ -2,7 +2,7 @@
 
     chunks/     digest, ids (unsigned 16-bit where every id fits, else 32-bit); each distinct chunk once
     recipes/    part, doc_id, start, n_tokens, digests, lengths; ascending doc_id, part by part
-    manifest/   part, level, node, digest: a Merkle tree over the recipes of each part, and of the parts
+    manifest/   part, level, node, digest: a Merkle tree over the recipes of each part, and over the parts to one root
 
 A gear hash over the last 32 ids cuts a document's ids wherever its low bits are zero, so equal passages give equal
 chunks wherever they stand. Reading back hashes every stored chunk anew, compares the trees, and gets a document's
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,12 +25,12 @@ from pyspark.sql.types import LongType
 from tidemark.llm.common import Scratch, map_arrow, partitions_for, slices, texts
 from tidemark.llm.tokens import CACHE, default_path, document_ids
 
-#: Ids in a chunk: at least, at most, and the bits of the gear hash that are zero at a cut (512 ids on average).
-LEAST, MOST, CUT_BITS = 64, 4096, 9
+#: Ids in a chunk: at least, at most, and the bits of the gear hash that are zero at a cut (about 2,300 ids on average).
+LEAST, MOST, CUT_BITS = 256, 16_384, 11
 FAN = 256
 CHUNK, RECIPE = 0, 1
-#: Digests that a task remembers, so that it sends a chunk once.
-_SEEN = 300_000
+#: Digests that a task remembers, so that it sends a chunk once; bytes of text whose chunks one partition keeps once.
+_SEEN, _PART_BYTES = 300_000, 128_000_000
 RECIPES = "part int, doc_id long, start long, n_tokens long, digests binary, lengths binary"
 
 
@@ -64,10 +65,6 @@ def cuts(marks: list[int], n: int) -> list[int]:
     return found if found[-1] == n else [*found, n]
 
 
-def _digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
-
-
 def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype("<u4")
 
@@ -83,9 +80,8 @@ def _chunked(path: str):
             if len(own) > _SEEN:
                 own = set()
             out = []
-            encoded = document_ids(data, path)
-            tokens = np.frombuffer(b"".join(encoded), "<u4")
-            ends = np.cumsum([len(x) // 4 for x in encoded]).tolist()
+            tokens, ends = document_ids(data, path)
+            ends = ends.tolist()
             marks = cut_marks(tokens)
             bounds = np.searchsorted(marks, [0, *ends], side="right").tolist()
             marks = marks.tolist()
@@ -104,7 +100,7 @@ def _chunked(path: str):
                         out.append((CHUNK, digest, None, None, content, None))
                     first = at
                 row += 1
-                out.append((RECIPE, _digest(b"%d %d" % (task, row)), doc_id, end - begin, b"".join(digests), np.array(lengths, "<u4").tobytes()))
+                out.append((RECIPE, b"%d.%d" % (task, row), doc_id, end - begin, b"".join(digests), np.array(lengths, "<u4").tobytes()))
                 begin = end
             types = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["kind", "key", "doc_id", "n_tokens", "data", "lengths"])
@@ -128,7 +124,8 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None) ->
     """Writes the store. A null text is an empty one and holds the end id only; null doc_ids come first, ties by content."""
     spark = docs.sparkSession
     rows = map_arrow(texts(docs), _chunked(tokenizer or default_path()), "kind int, key binary, doc_id long, n_tokens long, data binary, lengths binary")
-    unique = map_arrow(rows.repartition("key"), _once, ", ".join(f"{name} {kind}" for name, kind in rows.dtypes))
+    size = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    unique = map_arrow(rows.repartition(partitions_for(spark, size, _PART_BYTES), "key"), _once, ", ".join(f"{name} {kind}" for name, kind in rows.dtypes))
     unique.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/staged")
     staged = spark.read.schema("key binary, doc_id long, n_tokens long, data binary, lengths binary, kind int").parquet(f"{path}/staged")
     recipes = staged.where(F.col("kind") == RECIPE).select("doc_id", "n_tokens", F.col("data").alias("digests"), "lengths")
@@ -154,24 +151,36 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tree(recipes: DataFrame) -> DataFrame:
-    """Merkle tree: level 0 has a node for each FAN documents of a part, level 1 one for each FAN of those, level 2 one for each part."""
+    """Merkle tree: level 0 has a node for each FAN documents of a part, level 1 one for each FAN of those, level 2 one for
+    each part, level 3 one for each FAN parts, level 4 the root. Nodes over parts have part 0."""
     leaf = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(":").cast("binary"), F.col("digests"), F.col("lengths")), 256)
     rows = recipes.select("part", (F.row_number().over(Window.partitionBy("part").orderBy("start")) - 1).alias("at"), leaf.alias("digest"))
     levels = []
-    for level in range(3):
-        node = F.floor(F.col("at") / FAN) if level < 2 else F.lit(0).cast("long")
+    for level in range(5):
+        node = F.floor(F.col("at") / FAN) if level in (0, 1, 3) else F.lit(0).cast("long")
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]), "")
         rows = rows.groupBy("part", node.alias("node")).agg(F.sha2(joined.cast("binary"), 256).alias("digest"))
         levels.append(rows.select("part", F.lit(level).alias("level"), "node", "digest"))
         rows = rows.select("part", F.col("node").alias("at"), "digest")
-    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+        if level == 2:
+            rows = rows.select(F.lit(0).alias("part"), F.col("part").cast("long").alias("at"), "digest")
+    return reduce(DataFrame.unionByName, levels)
+
+
+def root(spark: SparkSession, path: str) -> str | None:
+    """The digest of the whole store as its manifest has it; None for an empty one."""
+    found = _manifest(spark, path).where(F.col("level") == 4).first()
+    return found["digest"] if found else None
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("part int, level int, node long, digest string").parquet(f"{path}/manifest")
 
 
 def verify_manifest(spark: SparkSession, path: str) -> None:
     """Raises if a node of the trees over the stored recipes isn't the one in the manifest."""
     at = ["part", "level", "node"]
-    stored = spark.read.schema("part int, level int, node long, digest string").parquet(f"{path}/manifest")
-    wrong = stored.join(tree(read_recipes(spark, path)).withColumnRenamed("digest", "now"), at, "full").where(~F.col("digest").eqNullSafe(F.col("now")))
+    wrong = _manifest(spark, path).join(tree(read_recipes(spark, path)).withColumnRenamed("digest", "now"), at, "full").where(~F.col("digest").eqNullSafe(F.col("now")))
     if found := wrong.select(*at).take(3):
         raise ValueError(f"the recipes in {path} don't match the manifest: {found}")
 
@@ -274,7 +283,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_store(docs: DataFrame, *, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
-    """Writes the store at `path`, a folder of the shared one unless given, and returns what read_store() finds in it."""
+    """Writes the store at `path`, a folder of the shared one unless given, and returns what read_store() finds in it.
+
+    One row per row of docs: doc_id, start, n_tokens, ids_crc32. A null or empty text is its end id. Rows that repeat a
+    doc_id each have their place, in the order of their content; null ids come first. A text of any length is encoded
+    whole and stored in chunks of bounded size. An empty table is an empty store; other columns are left behind.
+    """
     path = path or Scratch(docs.sparkSession, "token_store").path
     write_store(docs, path, tokenizer=tokenizer)
     return read_store(docs.sparkSession, path)

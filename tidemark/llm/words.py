@@ -51,6 +51,27 @@ def grams(hashes: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
     return mix(h + np.uint64(size), lane)
 
 
+def span_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash of joined[start:end] for each span."""
+    size = ends - starts
+    padded = joined + bytes(8)
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the bytes from each place on
+    out = size.astype(np.uint64) * _JOIN[lane] + _SEEDS[lane]
+    out ^= eight[starts] & _LOW[np.minimum(size, 8)]
+    out = mix(out, lane)
+    active = np.flatnonzero(size > 8)
+    for at in range(8, LONG, 8):
+        if not len(active):
+            break
+        own = eight[starts[active] + at] & _LOW[np.minimum(size[active] - at, 8)]
+        out[active] = mix(out[active] * _JOIN[lane] ^ own, lane)
+        active = active[size[active] > at + 8]
+    for k in active.tolist():  # longer ones
+        digest = hashlib.blake2b(joined[starts[k] : ends[k]], digest_size=16).digest()
+        out[k] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+    return out
+
+
 class Words:
     """Of each text the words first[k] to first[k + 1]; hashes() has a value for each word."""
 
@@ -65,23 +86,7 @@ class Words:
         self.sizes = np.diff(self.first)
 
     def hashes(self, lane: int = 0) -> np.ndarray:
-        size = self.ends - self.starts
-        padded = self.joined + bytes(8)
-        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the bytes from each place on
-        out = size.astype(np.uint64) * _JOIN[lane] + _SEEDS[lane]
-        out ^= eight[self.starts] & _LOW[np.minimum(size, 8)]
-        out = mix(out, lane)
-        active = np.flatnonzero(size > 8)
-        for at in range(8, LONG, 8):
-            if not len(active):
-                break
-            own = eight[self.starts[active] + at] & _LOW[np.minimum(size[active] - at, 8)]
-            out[active] = mix(out[active] * _JOIN[lane] ^ own, lane)
-            active = active[size[active] > at + 8]
-        for k in active.tolist():  # longer ones
-            digest = hashlib.blake2b(self.joined[self.starts[k] : self.ends[k]], digest_size=16).digest()
-            out[k] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
-        return out
+        return span_hashes(self.joined, self.starts, self.ends, lane)
 
     def windows(self, size: int) -> np.ndarray:
         """Indices of the words that start a run of `size` words of one text."""
