@@ -1,10 +1,13 @@
 """Best-fit packing by linear grouping.
 
 A piece's length is an integer up to the capacity, so the corpus enters the plan only as the number of pieces of each
-length. Large lengths are rounded up within groups of equal cardinality; configurations of the few rounded sizes are
-chosen by subset sums that leave least room; each configuration's places are filled with actual lengths, longest first;
-small pieces go, longest first, to the sequences they fit best. The plan is runs of equal sequences: its size depends
-on the capacity and not on the corpus. A join by length and rank gives each piece its place.
+length. Large lengths are rounded up within groups of equal cardinality. With few groups, which configurations of the
+rounded sizes are used how often is the optimum of the linear program over all configurations, found by column
+generation (a knapsack prices them), and what its rounding down leaves over is placed by subset sums; with groups so fine
+that a length is seldom rounded, all is placed by subset sums. Each configuration's places are filled with actual
+lengths, longest first; small pieces go, longest first, to the sequences they fit best. Of these plans the one with
+fewest sequences is taken: rounding costs room that nothing small may be left to fill. A plan is runs of equal sequences:
+its size depends on the capacity and not on the corpus. A join by length and rank gives each piece its place.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import heapq
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +26,9 @@ from tidemark.llm.common import Scratch, map_arrow, partitions_for, slices, text
 from tidemark.llm.tokens import CACHE, default_path, document_ids
 
 CAPACITY = 1024
-#: Large lengths form at most so many groups. The plan is made for each of these parts of the capacity as the limit of
-#: small lengths, and for both ways to complement a size; the one with fewest sequences is taken.
-GROUPS, SMALL_PARTS = 1024, (4, 8, 16, 64)
+#: Large lengths form at most so many groups. With FEW or less of them the linear program is solved, in so many steps at
+#: most. SMALL_PARTS: small lengths are at most these parts of the capacity; few groups are tried with the first.
+GROUPS, FEW, STEPS, SMALL_PARTS = (40, 100, 1024), 128, 400, (4, 8, 16, 64)
 
 
 def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -103,11 +107,63 @@ def _descending(sizes: list[int], have: dict[int, int], room: int) -> list[int]:
     return chosen
 
 
-def configurations(counts: dict[int, int], capacity: int, complement=_complement) -> list[tuple[list[int], int]]:
-    """(sizes, how many sequences): the largest size left is joined by its complement, as often as all of them last."""
-    have = dict(counts)
-    sizes = sorted(have)
-    out = []
+def optimised(counts: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[list[int], int]]:
+    """(sizes, how many sequences): the least linear combination of configurations that holds all sizes, rounded down.
+
+    A basis has as many configurations as there are sizes. Its prices say what a place for each size is worth; the
+    configuration that is worth most enters the basis while it is worth more than one sequence.
+    """
+    sizes = np.array(sorted(counts, reverse=True), np.int64)
+    demand = np.array([counts[s] for s in sizes.tolist()], float)
+    if not len(sizes):
+        return []
+    basis = np.diag((capacity // sizes).astype(float))
+    for _ in range(steps):
+        prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        entering = _most_worth(sizes, prices, capacity)
+        if entering @ prices <= 1 + 1e-9:
+            break
+        amounts, direction = np.linalg.solve(basis, np.stack([demand, entering], axis=1)).T
+        ratios = np.where(direction > 1e-12, np.maximum(amounts, 0) / np.where(direction > 1e-12, direction, 1), np.inf)
+        basis[:, int(np.argmin(ratios))] = entering
+    times = np.floor(np.maximum(np.linalg.solve(basis, demand), 0) + 1e-7).astype(np.int64)
+    out, left = [], demand.astype(np.int64)
+    for column, n in zip(basis.T.astype(np.int64), times.tolist(), strict=True):
+        need = np.flatnonzero(column)
+        n = min(n, int((left[need] // column[need]).min()))  # whatever rounding did, no more than there are
+        if n:
+            left -= n * column
+            out.append((np.repeat(sizes, column).tolist(), n))
+    return out
+
+
+def _most_worth(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each size are worth most together, up to the capacity."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    order = np.argsort(sizes, kind="stable")
+    small, worth = sizes[order], prices[order]
+    fitting = np.searchsorted(small, np.arange(capacity + 1), side="right")
+    for room in range(int(small[0]), capacity + 1):
+        own = best[room - small[: fitting[room]]] + worth[: fitting[room]]
+        k = int(np.argmax(own))
+        best[room], last[room] = (own[k], k) if own[k] > best[room - 1] else (best[room - 1], -1)
+    out, room = np.zeros(len(sizes)), capacity
+    while room > 0:
+        if last[room] >= 0:
+            out[order[last[room]]] += 1
+            room -= int(small[last[room]])
+        else:
+            room -= 1
+    return out
+
+
+def configurations(counts: dict[int, int], capacity: int, complement=_complement, first: list[tuple[list[int], int]] | None = None) -> list[tuple[list[int], int]]:
+    """(sizes, how many sequences): those of `first`; then the largest size left is joined by its complement, as often as all of them last."""
+    have, out = dict(counts), list(first or [])
+    for pattern, times in out:
+        for s in pattern:
+            have[s] -= times
+    sizes = sorted(s for s in have if have[s])
     while sizes:
         top = sizes[-1]
         have[top] -= 1
@@ -125,25 +181,31 @@ def configurations(counts: dict[int, int], capacity: int, complement=_complement
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, offset): the ranks of a length go to consecutive sequences."""
-    tried = (_plan(counts, capacity, groups, capacity // part, way) for part in SMALL_PARTS for way in (_complement, _descending))
+    tried = []
+    for part, n in [(part, n) for part in SMALL_PARTS for n in groups if n > FEW or part == SMALL_PARTS[0]]:
+        large = {x: c for x, c in counts.items() if x > capacity // part}
+        rounded = grouped(large, n)
+        sizes: dict[int, int] = defaultdict(int)
+        for x, top in rounded.items():
+            sizes[top] += large[x]
+        first = optimised(dict(sizes), capacity) if n <= FEW else []
+        for way in (_complement, _descending):
+            tried.append(_plan(counts, capacity, rounded, capacity // part, configurations(dict(sizes), capacity, way, first)))
     return min(tried, key=lambda x: x[0])[1]
 
 
-def _plan(counts: dict[int, int], capacity: int, groups: int, small_most: int, complement) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+def _plan(counts: dict[int, int], capacity: int, rounded: dict[int, int], small_most: int, found: list[tuple[list[int], int]]) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """How many sequences, and where: actual lengths in the places of the configurations, then the small ones."""
     large = {n: c for n, c in counts.items() if n > small_most}
-    rounded = grouped(large, groups)
     by_group: dict[int, list[list[int]]] = defaultdict(list)  # group: [length, left], longest first
-    for n in sorted(large, reverse=True):
+    for n in sorted(large):
         by_group[rounded[n]].append([n, large[n]])
-    sizes: dict[int, int] = defaultdict(int)
-    for n, c in large.items():
-        sizes[rounded[n]] += c
     used: dict[int, int] = defaultdict(int)
     out, sequence = [], 0
     runs: list[tuple[int, int, int]] = []  # room, first sequence, sequences
-    for pattern, times in configurations(dict(sizes), capacity, complement):
+    for pattern, times in found:
         while times:
             # as many sequences as have the same actual lengths
             wanted = {s: pattern.count(s) for s in pattern}
@@ -208,8 +270,9 @@ def _give(rooms: dict[int, list[tuple[int, int]]], fits: list[int], room: int, r
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null text is an empty one: its piece is the end id. Rows that repeat a doc_id are packed as documents of their
-    own. An empty table gives no rows.
+    A null text is an empty one: its piece is the end id. Rows that repeat a doc_id, or have none, are packed as documents
+    of their own. A text longer than the capacity is cut in pieces; its ids are encoded whole. Pieces of one length are
+    placed by doc_id, piece and checksum within a bucket of their hash; equal ones are alike. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
