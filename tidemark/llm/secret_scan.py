@@ -2,7 +2,8 @@
 
 The lexer reads source and configuration lines as name-literal pairs (`name = "x"`, `name: x`, `"name": "x"`,
 `export NAME=x`, `<name>x</name>`), keeps what a name was last given, follows names and sums of names and literals to
-the literals behind them, and scores each literal by the words of the names that it reaches and by its own form.
+the literals behind them, also to ones that a name is given further on, and scores each literal by the words of the names
+that it reaches and by its own form. A text is one scope; a value ends with its line.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +33,9 @@ WEIGHTS = {
 }
 #: A text without any of these has no name with a weight: each key of WEIGHTS has one of them within it.
 _STEMS = tuple(x for x in WEIGHTS if not any(y in x for y in WEIGHTS if y != x))
-#: Fixed values that stand for no secret.
-_PLACEHOLDERS = re.compile(r"(?ai:change_?me|example|placeholder|dummy|your[_-]|todo|none|null|true|false|undefined|x{4,}|\*{3,}|<.*>|\$\{.*\}|%\(.*\)s|\{\{.*\}\})")
+#: Fixed values that stand for no secret, as the whole value or a word of it; and forms of a whole value that do.
+_PLACEHOLDERS = {"changeme", "change_me", "change-me", "example", "placeholder", "dummy", "your", "todo", "none", "null", "true", "false", "undefined"}
+_TEMPLATE = re.compile(r"[xX]{4,}|\*{3,}|<.*>|\$\{.*\}|%\(.*\)s|\{\{.*\}\}")
 THRESHOLD = 1.2
 _LEAST = 6
 
@@ -60,9 +63,15 @@ def name_weight(name: str) -> float:
     return min(1.5, sum(WEIGHTS.get(x, 0.0) for x in parts) + (0.5 if "api" in parts and "key" in parts else 0))
 
 
+def _is_placeholder(value: str) -> bool:
+    """Whether the value, or one of its words between signs, stands for no secret; letters within a longer word don't."""
+    low = value.lower()
+    return low in _PLACEHOLDERS or bool(_TEMPLATE.fullmatch(value)) or any(x in _PLACEHOLDERS for x in re.split("[^a-z0-9]+", low))
+
+
 def literal_weight(value: str) -> float:
     """From 0 to 1 by length, mixture of character classes and entropy; 0 for placeholders and prose."""
-    if len(value) < _LEAST or _PLACEHOLDERS.search(value) or any(c.isspace() for c in value):
+    if len(value) < _LEAST or any(c.isspace() for c in value) or _is_placeholder(value):
         return 0.0
     counts = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
@@ -75,38 +84,66 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
     low = text.lower()
     if not any(x in low for x in _STEMS):
         return []
-    held: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
-
-    def give(name: str, spans: list[tuple[int, int]]) -> None:
-        held[name] = spans
-        weight = name_weight(name)
-        for span in spans:
-            best[span] = max(best.get(span, 0.0), weight)
-
+    given: list[Given] = []
+    last: dict[str, int] = {}  # which of them a name was last given
     at = 0
     while pair := _PAIR.search(text, at):
-        spans, at = _behind(text, pair.end(), held)
-        give(pair["name"], spans)
+        own, at = _behind(text, pair.end(), last)
+        given.append(own)
+        last[pair["name"]] = len(given) - 1
+        own.name = pair["name"]
     for element in _ELEMENT.finditer(text):
-        give(element["name"], [element.span("value")])
-    return sorted((a, b, "literal") for (a, b), weight in best.items() if weight and (own := literal_weight(text[a:b])) and weight + own >= THRESHOLD)
-
-
-def _behind(text: str, at: int, held: dict[str, list[tuple[int, int]]]) -> tuple[list[tuple[int, int]], int]:
-    """Spans of the literals that make up the value at a place, and where it ends."""
-    spans: dict[tuple[int, int], None] = {}
+        given.append(Given(element["name"], [element.span("value")]))
+        last[element["name"]] = len(given) - 1
+    best: dict[tuple[int, int], float] = {}
+    seen = [False] * len(given)
+    weights = [name_weight(x.name) for x in given]
+    for first in sorted(range(len(given)), key=lambda k: -weights[k]):  # so each value is reached by its weightiest name first
+        if not weights[first]:
+            break
+        waiting = [first]
+        while waiting:
+            k = waiting.pop()
+            if seen[k]:
+                continue
+            seen[k] = True
+            for span in given[k].literals:
+                best.setdefault(span, weights[first])
+            waiting += given[k].values
+            for name, span in given[k].names:  # one that is given nothing is a literal: configurations write bare words
+                if name in last:
+                    waiting.append(last[name])
+                else:
+                    best.setdefault(span, weights[first])
+    return sorted((a, b, "literal") for (a, b), weight in best.items() if (own := literal_weight(text[a:b])) and weight + own >= THRESHOLD)
+
+
+@dataclass
+class Given:
+    """One value that a name is given: literals, values that other names held by then, and names that held nothing yet."""
+
+    name: str = ""
+    literals: list[tuple[int, int]] = field(default_factory=list)
+    values: list[int] = field(default_factory=list)
+    names: list[tuple[str, tuple[int, int]]] = field(default_factory=list)
+
+
+def _behind(text: str, at: int, last: dict[str, int]) -> tuple[Given, int]:
+    """What makes up the value at a place, and where it ends."""
+    own = Given()
     while term := _TERM.match(text, at):
         at = term.end()
         if term["text"]:
-            spans[term.start("text") + 1, term.end("text") - 1] = None
-        elif term["name"] in held:
-            spans.update(dict.fromkeys(held[term["name"]]))
+            own.literals.append((term.start("text") + 1, term.end("text") - 1))
+        elif term["name"] in last:
+            own.values.append(last[term["name"]])
+        elif term["name"]:
+            own.names.append((term["name"], term.span("name")))
         else:
-            spans[term.span("name" if term["name"] else "bare")] = None
+            own.literals.append(term.span("bare"))
         if not term["plus"]:
             break
-    return list(spans), at
+    return own, at
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
@@ -130,6 +167,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     spans are kind:start:end in code points, end exclusive, comma-joined by start and then kind. A null or empty text
-    has none. A literal is a span of its own also where a fixed pattern covers it.
+    has none. A literal is a span of its own also where a fixed pattern covers it; one that several names reach counts with
+    the weightiest of them. Rows that repeat a doc_id, or have none, each get their row. A text of any length is read whole,
+    each line once. An empty table gives no rows; other columns are left behind.
     """
     return map_arrow(texts(docs), _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
