@@ -42,8 +42,9 @@ MATCH_PERCENTS, VERIFY_COST = (5, 10, 20, 35), 30
 FIRST_PERCENT = 8
 #: Documents that one verification task compares with a centre at once.
 CHUNK = 200
-#: Rounds with one centre for each shingle before the rest is compared in full, in blocks of so many documents.
-ROUNDS, TILE = 2, 150
+#: Rounds with one centre for each shingle before the rest is compared in full, in blocks of so many documents. Each round
+#: costs the driver the memory of some 15 jobs.
+ROUNDS, TILE = 1, 150
 #: Shingles of a block at most, about, unless one document has more.
 TILE_SHINGLES = 400_000
 
@@ -221,7 +222,6 @@ def _by_centre(pairs: DataFrame, rows: DataFrame, scratch: Scratch, name: str, f
 
 def _links(pairs: DataFrame, prefixes: DataFrame, held: DataFrame, scratch: Scratch, name: str, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) that are similar: those whose prefixes have the matches are compared by their words."""
-    pairs = scratch.table(pairs.select("u", "v").distinct(), f"{name}_pairs")
     matched = _by_centre(pairs, prefixes.select("doc_id", "matches", "tokens"), scratch, f"{name}_matched", _matched)
     return _by_centre(matched, held.select("doc_id", "text"), scratch, f"{name}_links", _verified(size, percent))
 
@@ -363,7 +363,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 80) ->
     lists = scratch.table(_banded(prefixes, percent), "lists")
     scratch.drop("whole")
 
-    labels = components(same, scratch, "components_start")
+    labels = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component")) if same.isEmpty() else components(same, scratch, "components_start")
     for turn in range(ROUNDS + 1):
         # Lists whose documents lie in one component have nothing left.
         at = lists.join(labels, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component")) if turn else lists.withColumn("component", F.col("doc_id"))

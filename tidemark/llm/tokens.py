@@ -15,7 +15,6 @@ import gc
 import os
 
 import numpy as np
-import pandas as pd
 
 from tidemark.llm.common import worker_caches
 from tidemark.llm.words import span_hashes
@@ -192,6 +191,8 @@ def _marks_apart(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray, firs
 
 def distinct(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the spans of joined the first of each content, and for each span which of those it repeats."""
+    import pandas as pd  # in workers only: it would take the driver's memory
+
     high, low = (span_hashes(joined, starts, ends, lane) for lane in range(2))
     codes, values = pd.factorize(high)
     own = np.empty(len(values), np.int64)
