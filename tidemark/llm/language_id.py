@@ -12,15 +12,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, id_crc, map_arrow, slices, sum_vectors, texts
 
 BITS = 15
 SIZE = 1 << BITS
-#: Rows of each language that the weights are fitted on, by the least hash of the id; rows of all languages together.
+#: Rows of each language, about, that the weights are fitted on, by a hash of the id; rows of all languages together.
 SAMPLE_EACH, SAMPLE_ALL = 1200, 240_000
+HASHES = 1 << 40
 #: FTRL: rate, its smoothing, L1, L2, passes over the sample. SCALE multiplies shares of n-grams.
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.2, 0.1, 3, 30.0
 UNKNOWN = "und"
@@ -153,24 +154,35 @@ def _predicted(model):
     return run
 
 
+def sampled(learning: DataFrame, each: int, most: int, scratch: Scratch) -> DataFrame:
+    """doc_id, text, lang of about `each` rows of a language, fewer where all languages would pass `most`, at least one.
+
+    Each row is judged by its own hash against its language's limit, so no language meets in one task.
+    """
+    rows = learning.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)))
+    languages = scratch.table(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")), "languages")
+    each = max(1, min(each, most // max(1, languages.count())))
+    share = (F.lit(float(HASHES * each)) / F.col("n")).cast("long")
+    limits = languages.select("lang", F.greatest("least", share).alias("limit"))  # one row of a language; Spark broadcasts it by its written size
+    return rows.join(limits, "lang").where(F.col("hash") <= F.col("limit")).select("doc_id", "text", "lang")
+
+
 def identify(docs: DataFrame, *, held_out: Column | None = None, sample_each: int = SAMPLE_EACH, sample_all: int = SAMPLE_ALL) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
     Learns from rows with a language and an id that are not held out. lang_pred is `und` with score 0 where the text is
     null or has no letter, and everywhere if there is nothing to learn from. sample_each bounds the rows of a language
-    that weights are fitted on, and sample_all those of all languages, but for one row of each; document frequencies
-    come from all. Every language is learnt: the fit's time and the driver's memory grow with their number.
+    that weights are fitted on, about, and sample_all those of all languages, but for one row of each; document frequencies
+    come from all. Rows that repeat an id count each and are sampled together; of equal scores the first language by name is
+    taken; a text of any length is one vector of n-gram counts. Every language is learnt: the fit's time and the driver's memory grow with their number.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "language")
     out = F.coalesce(id_crc() % 3 == 1, F.lit(False)) if held_out is None else held_out
     learning = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~out)
     frequencies = sum_vectors(map_arrow(texts(learning), _frequencies, "vector binary"), SIZE + 1, scratch, "frequencies")
-    each = max(1, min(sample_each, sample_all // max(1, learning.select("lang").distinct().count())))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = learning.select("doc_id", "lang").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= each)
-    chosen = F.broadcast(chosen.select("doc_id").distinct())  # at most sample_all ids, or one of each language
-    rows = learning.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang")).join(chosen, "doc_id", "left_semi")
+    rows = sampled(learning, sample_each, sample_all, scratch)
     sample = map_arrow(rows, _sparse, "lang string, doc_id long, at binary, counts binary").collect()
     model = spark.sparkContext.broadcast(fit(sample, frequencies))
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), out.alias("held_out"))
