@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections import Counter, defaultdict
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -105,8 +106,12 @@ class Windows:
         self.order = np.argsort(rarity[self.table], axis=1, kind="stable")
 
 
-def _occurrences(windows: Windows, slop: int, segment: dict) -> tuple[dict[int, list], dict[int, set], dict[int, set]]:
-    """By document of the segment: (start, end) and items of exact matches, and items of matches within the slop."""
+#: A match: start and end in words, whether exact, and the window.
+Match = tuple[int, int, bool, int]
+
+
+def _occurrences(windows: Windows, slop: int, segment: dict) -> dict[int, list[Match]]:
+    """The matches by document of the segment; one within the slop is placed by its rarest term."""
     counts = np.asarray(segment["counts"], np.int64)
     ends = np.cumsum(counts)
     positions = np.cumsum(np.frombuffer(segment["positions"], "<i4"), dtype=np.int64)
@@ -119,9 +124,7 @@ def _occurrences(windows: Windows, slop: int, segment: dict) -> tuple[dict[int,
             present[own] = True
     sizes = np.asarray(segment["n_words"], np.int64)
     firsts = np.cumsum(sizes) - sizes + np.arange(len(sizes)) * GAP
-    exact: dict[int, list] = defaultdict(list)
-    items: dict[int, set] = defaultdict(set)
-    near: dict[int, set] = defaultdict(set)
+    found_in: dict[int, list[Match]] = defaultdict(list)
     for k in np.flatnonzero(present[windows.table].all(axis=1)).tolist():
         length = windows.lengths[k]
         places = [(lists[int(windows.table[k, at])], at) for at in windows.order[k, :length].tolist()]
@@ -139,49 +142,58 @@ def _occurrences(windows: Windows, slop: int, segment: dict) -> tuple[dict[int,
             right &= own[found] == starts + at
         doc = np.searchsorted(firsts, starts + places[0][1], side="right") - 1
         for d, start, whole in zip(doc.tolist(), (starts - firsts[doc]).tolist(), right.tolist(), strict=True):
-            if whole:
-                exact[d].append((start, start + length))
-                items[d].update(windows.items[k])
-            else:
-                near[d].update(windows.items[k])
-    return exact, items, near
+            found_in[d].append((max(start, 0), min(start + length, int(sizes[d])), whole, k))
+    return found_in
+
 
+#: What one block of the benchmark finds in a document: matches as columns, and the sets of items that share a window.
+PART = "struct<starts: array<int>, ends: array<int>, exact: array<boolean>, owner: array<int>, owners: array<array<string>>>"
+_PART = pa.struct([("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("exact", pa.list_(pa.bool_())), ("owner", pa.list_(pa.int32())), ("owners", pa.list_(pa.list_(pa.string())))])
+RESULT = f"segment string, at int, doc_id long, n_words long, parts array<{PART}>"
 
-RESULT = "segment string, at int, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>, near array<string>"
+
+def _part(matches: list[Match], windows: Windows) -> dict:
+    numbers: dict[tuple[str, ...], int] = {}
+    owner = [numbers.setdefault(tuple(windows.items[k]), len(numbers)) for *_, k in matches]
+    starts, ends, exact, _ = zip(*matches, strict=True)
+    return {"starts": starts, "ends": ends, "exact": exact, "owner": owner, "owners": [list(x) for x in numbers]}
 
 
 def _asked(windows, slop: int):
     def run(batches):
         for batch in batches:
             for segment in batch.to_pylist():
-                exact, items, near = _occurrences(windows.value, slop, segment)
+                found = _occurrences(windows.value, slop, segment)
                 n = len(segment["doc_ids"])
                 columns = [
                     pa.array([segment["segment"]] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(segment["doc_ids"], pa.int64()), pa.array(segment["n_words"], pa.int64()),
-                    pa.array([[a for a, _ in exact[d]] if d in exact else [] for d in range(n)], pa.list_(pa.int32())), pa.array([[b for _, b in exact[d]] if d in exact else [] for d in range(n)], pa.list_(pa.int32())),
-                    pa.array([sorted(items[d]) if d in items else [] for d in range(n)], pa.list_(pa.string())), pa.array([sorted(near[d]) if d in near else [] for d in range(n)], pa.list_(pa.string())),
+                    pa.array([[_part(found[d], windows.value)] if d in found else [] for d in range(n)], pa.list_(_PART)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["segment", "at", "doc_id", "n_words", "starts", "ends", "items", "near"])
+                yield pa.RecordBatch.from_arrays(columns, names=["segment", "at", "doc_id", "n_words", "parts"])
 
     return run
 
 
+def _digest(parts: list[dict]) -> tuple[int, int, str, bool, int]:
+    spans, items, near = [], set(), set()
+    for part in parts:
+        for exact in (True, False):
+            own = {o for o, whole in zip(part["owner"], part["exact"], strict=True) if whole is exact}
+            (items if exact else near).update(x for o in own for x in part["owners"][o])
+        spans += [(a, b) for a, b, whole in zip(part["starts"], part["ends"], part["exact"], strict=True) if whole]
+    total = last = 0
+    for a, b in sorted(spans):
+        total += max(0, b - max(a, last))
+        last = max(last, b)
+    return total, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), total > 0, len(near - items)
+
+
 def _digests(batches):
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64())
     for batch in batches:
-        starts, ends, items, near = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("starts", "ends", "items", "near"))
-        hit, shas, n_items, n_near = [], [], [], []
-        for a, b, own, close in zip(starts, ends, items, near, strict=True):
-            total = last = 0
-            for x, y in sorted(zip(a, b, strict=True)):
-                total += max(0, y - max(x, last))
-                last = max(last, y)
-            names = sorted(set(own))
-            hit.append(total)
-            n_items.append(len(names))
-            shas.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-            n_near.append(len(set(close) - set(names)))
+        parts = batch.column(batch.schema.get_field_index("parts")).to_pylist()
         columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "n_words")]
-        columns += [pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(shas, pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), pa.array(n_near, pa.int64())]
+        columns += [pa.array(x, kind) for x, kind in zip(zip(*map(_digest, parts), strict=True), kinds, strict=True)] if parts else [pa.array([], kind) for kind in kinds]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items"])
 
 
@@ -201,30 +213,45 @@ def build_index(docs: DataFrame, scratch: Scratch, lexicon: dict[bytes, int] | N
     return scratch.table(map_arrow(texts(docs), _segments(lexicon), INDEX), "index")
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, slop: int, block_bytes: int) -> tuple[DataFrame, bool]:
+    """Rows of RESULT, one for each document and block, and whether there are several blocks."""
+    if window + 2 * slop >= GAP:
+        raise ValueError("the window and the slop must be shorter than the gap between documents")
+    spark = docs.sparkSession
+    n, rows = _blocks(benchmark, block_bytes)
+    whole = Windows(_items(rows, 0), window) if n == 1 else None
+    index = build_index(docs, Scratch(spark, "decontamination"), whole.terms if whole else None)
+    asked = [_ask(spark, index, whole or Windows(_items(rows, block), window), slop) for block in range(n)]
+    return reduce(DataFrame.unionByName, asked), n > 1
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each place and item: doc_id, item_id, start, end (in words, exclusive), exact.
+
+    An exact match has the window's words in order. One that isn't has each word within the slop of its place, counted
+    from the window's rarest word; start and end are those of the window so placed, cut to the document. Documents
+    without a match have no row. Nulls, repeated rows and empty tables are as in decontaminate(); documents of any
+    length are asked whole.
+    """
+    found, _ = _found(docs, benchmark, window, slop, block_bytes)
+    part = found.select("doc_id", F.explode("parts").alias("p")).where("size(p.starts) > 0")
+    match = part.select("doc_id", "p.owners", F.explode(F.arrays_zip(F.col("p.starts").alias("start"), F.col("p.ends").alias("end"), F.col("p.exact").alias("exact"), F.col("p.owner").alias("owner"))).alias("m"))
+    return match.select("doc_id", F.explode(F.col("owners")[F.col("m.owner")]).alias("item_id"), "m.start", "m.end", "m.exact")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items.
 
     n_near_items counts items with a window that the document has within the slop, and with none that it has exactly.
     Null texts have no words. Benchmark rows of one item_id are one item; a null item_id is written as an empty string.
-    Rows that repeat a doc_id each get their own row. An empty benchmark hits nothing.
+    Rows that repeat a doc_id each get their own row. An empty benchmark hits nothing. A document of any length is
+    asked whole; windows that several items share count for each.
     """
-    if window + 2 * slop >= GAP:
-        raise ValueError("the window and the slop must be shorter than the gap between documents")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontamination")
-    n, rows = _blocks(benchmark, block_bytes)
-    whole = Windows(_items(rows, 0), window) if n == 1 else None
-    index = build_index(docs, scratch, whole.terms if whole else None)
-    found: DataFrame | None = None
-    for block in range(n):
-        asked = _ask(spark, index, whole or Windows(_items(rows, block), window), slop)
-        found = asked if found is None else found.unionByName(asked)
-    if n > 1:
-        found = found.groupBy("segment", "at").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items", "near"))
-        )
+    found, several = _found(docs, benchmark, window, slop, block_bytes)
+    if several:
+        found = found.groupBy("segment", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("parts")).alias("parts"))
     return map_arrow(
-        found.select("doc_id", "n_words", "starts", "ends", "items", "near"), _digests,
+        found.select("doc_id", "n_words", "parts"), _digests,
         "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long",
     )
 
