@@ -28,8 +28,8 @@ from tidemark.llm.common import ROW, Scratch, by_row, map_arrow, slices, texts,
 WINDOW = 10
 #: Words a term may stand from its place in a proximity match.
 SLOP = 2
-#: Bytes of benchmark text that one block, and what is broadcast for it, may have.
-BLOCK_BYTES = 8_000_000
+#: Bytes of benchmark text that one block may have; what is broadcast for it has about eight times as many.
+BLOCK_BYTES = 4_000_000
 #: Positions left free between two documents of a segment.
 GAP = 64
 
@@ -94,16 +94,19 @@ class Windows:
             for at in range(max(len(own) - size, 0) + 1 if own else 0):
                 owners[tuple(own[at : at + size])].add(item)
         self.terms = {w: k for k, w in enumerate(dict.fromkeys(w for x in owners for w in x))}
-        self.items = [sorted(x) for x in owners.values()]
-        self.lengths = [len(x) for x in owners]
-        self.table = np.full((len(owners), size), len(self.terms), np.int64)  # the last column of `present` is always true
+        sets: dict[tuple[str, ...], int] = {}
+        self.owner = np.fromiter((sets.setdefault(tuple(sorted(x)), len(sets)) for x in owners.values()), np.int32, len(owners))
+        self.sets = list(sets)
+        self.lengths = np.fromiter(map(len, owners), np.int32, len(owners))
+        self.table = np.full((len(owners), size), len(self.terms), np.int32)  # the last column of `present` is always true
         for k, window in enumerate(owners):
             self.table[k, : len(window)] = [self.terms[w] for w in window]
-        self.order = np.zeros_like(self.table)
+        self.order = np.zeros(self.table.shape, np.min_scalar_type(size))
 
     def order_by(self, counts: dict[bytes, int]) -> None:
         rarity = np.array([counts.get(w, 0) for w in self.terms] + [np.iinfo(np.int64).max])
-        self.order = np.argsort(rarity[self.table], axis=1, kind="stable")
+        for at in range(0, len(self.table), 65536):  # some rows at a time, as sorting works on eight bytes a term
+            self.order[at : at + 65536] = np.argsort(rarity[self.table[at : at + 65536]], axis=1, kind="stable")
 
 
 #: A match: start and end in words, whether exact, and the window.
@@ -126,7 +129,7 @@ def _occurrences(windows: Windows, slop: int, segment: dict) -> dict[int, list[M
     firsts = np.cumsum(sizes) - sizes + np.arange(len(sizes)) * GAP
     found_in: dict[int, list[Match]] = defaultdict(list)
     for k in np.flatnonzero(present[windows.table].all(axis=1)).tolist():
-        length = windows.lengths[k]
+        length = int(windows.lengths[k])
         places = [(lists[int(windows.table[k, at])], at) for at in windows.order[k, :length].tolist()]
         starts = places[0][0] - places[0][1]
         for own, at in places[1:]:
@@ -153,10 +156,10 @@ RESULT = f"segment string, at int, doc_id long, n_words long, parts array<{PART}
 
 
 def _part(matches: list[Match], windows: Windows) -> dict:
-    numbers: dict[tuple[str, ...], int] = {}
-    owner = [numbers.setdefault(tuple(windows.items[k]), len(numbers)) for *_, k in matches]
+    numbers: dict[int, int] = {}
+    owner = [numbers.setdefault(int(windows.owner[k]), len(numbers)) for *_, k in matches]
     starts, ends, exact, _ = zip(*matches, strict=True)
-    return {"starts": starts, "ends": ends, "exact": exact, "owner": owner, "owners": [list(x) for x in numbers]}
+    return {"starts": starts, "ends": ends, "exact": exact, "owner": owner, "owners": [windows.sets[x] for x in numbers]}
 
 
 def _asked(windows, slop: int):
