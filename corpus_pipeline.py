@@ -29,6 +29,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its sequence and place; see packing.pack()."""
     return packing.pack(docs)
 
 
@@ -45,6 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over `documents`, each stage on all that the one before it kept.
+
+    Stages act by row: one goes for its own text, also where ids repeat or are null, and of equal rows one stays. Null and
+    empty texts are equal texts of which exact dedup keeps one, if the classifier kept any. Texts of any length are read
+    whole. Further columns pass through the filtering stages. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
