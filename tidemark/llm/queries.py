@@ -13,6 +13,7 @@ from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.language_id import identify
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import find_pii
+from tidemark.llm.prefix_bpe import encode_decode
 from tidemark.llm.quality import score_quality
 from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.substring_dedup import dedup_substrings
@@ -60,6 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("n_near_items")
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard_join,
         op9_token_store,
         op10_decontamination,
+        op11_prefix_bpe,
     )
 }
 
