@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import centroids
+from tidemark.llm.alignment import align
 from tidemark.llm.common import table
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
@@ -70,6 +71,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents")).documents.drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontamination,
         op11_prefix_bpe,
         op12_centroid_clustering,
+        op13_tokenizer_alignment,
     )
 }
 

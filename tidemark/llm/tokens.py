@@ -218,6 +218,14 @@ def _spelt(piece: str) -> str:
     return piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
+_LETTER_BYTES = {chr(letter): byte for byte, letter in _BYTE_LETTERS.items()}
+
+
+def spelt_bytes(piece: str) -> bytes:
+    """The bytes that a vocabulary entry's letters stand for."""
+    return bytes(map(_LETTER_BYTES.__getitem__, piece))
+
+
 def encoder(path: str) -> PartEncoder:
     """One encoder for each worker process."""
     held = worker_caches.setdefault(CACHE, {})
