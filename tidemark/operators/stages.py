@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from tidemark.schema import schemas
 
@@ -26,17 +27,16 @@ def replace_rows(rows: DataFrame, path: str, by: str, keys: DataFrame | None = N
     """Writes rows in place of those with the same values of the partition column; other partitions stay.
 
     keys: a table of the values (column `by`) that are replaced, so that one without new rows loses its old ones. All
-    rows of a key are in one folder; a reader sees the old or the new ones, and one without rows is emptied last.
+    rows of a key are in one folder; a reader sees the old or the new ones, and one without rows is emptied last. For
+    many keys, or readers that must not see half of it, see sources.generations.
     """
     spark = rows.sparkSession
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     if keys is None or not _exists(spark, path):
         return
-    held = spark.read.parquet(path)
-    if by not in held.columns:
-        return
+    held = spark.read.schema(StructType().add(by, StringType())).parquet(path)  # a folder's name as it is: "007" is no number
     written = rows.select(F.col(by).cast("string").alias(by)).distinct()
-    stored = held.select(F.col(by).cast("string").alias(by)).distinct()
+    stored = held.distinct()
     gone = keys.select(F.col(by).cast("string").alias(by)).distinct().join(written, by, "left_anti").join(stored, by, "left_semi")
     for r in gone.toLocalIterator():  # a folder each, and seldom any
         _delete(spark, f"{path}/{by}={_folder(spark, r[by])}")

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip, tokens
 from tidemark.operators.intervals import BUCKET_S
+from tidemark.sources.generations import Put, Store
+
+#: BM25's constants, and what a phrase counts for that most texts have.
+K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Ids of units in a block: neighbours by id, which mostly follow each other in a video, have words in common.
+BLOCK = 64
 
 
 def unit_texts(units: DataFrame, sentences: DataFrame, *, bucket_s: float = BUCKET_S) -> DataFrame:
@@ -54,13 +60,30 @@ def empty_count(texts: DataFrame) -> DataFrame:
     return texts.agg(F.count(F.lit(1)).alias("n_units"), F.count_if(strip(F.col("text")) == "").alias("n_empty"))
 
 
+def idf(n_docs: Column | float, n: Column) -> Column:
+    plain = F.ln((n_docs - n + 0.5) / (n + 0.5))
+    return F.when(plain > 0, plain).otherwise(LEAST_IDF)
+
+
+def saturated(f: Column, n_terms: Column, mean: Column | float) -> Column:
+    """How much f occurrences in a text of n_terms weigh."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * n_terms / mean))
+
+
 @dataclass(frozen=True)
 class Index:
-    """What a search reads: postings (key, term, tf, positions) and lengths (key, n_terms and what units carry besides)."""
+    """What a search reads: postings (key, term, tf, positions) and lengths (key, n_terms and what units carry besides).
+
+    A stored index also has `blocks` (term, block, n, best, entries): the postings of a term in BLOCK neighbouring ids,
+    and the most that one of them adds to a score; `n_docs` and `mean` are the corpus's.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     key: str = "unit_id"
+    blocks: DataFrame | None = None
+    n_docs: int = 0
+    mean: float = 0.0
 
 
 def index_of(texts: DataFrame, key: str = "unit_id") -> Index:
@@ -68,20 +91,46 @@ def index_of(texts: DataFrame, key: str = "unit_id") -> Index:
     return Index(postings(texts, key), texts.select("*", F.size(tokens(F.col("text"))).cast("long").alias("n_terms")).drop("text"), key)
 
 
+def blocks_of(lists: DataFrame, lengths: DataFrame, n_docs: int, mean: float) -> DataFrame:
+    """Blocks of postings. A term's frequency is the sum over its blocks, so no join meets a common term's postings."""
+    entry = F.struct("unit_id", "tf", "n_terms")
+    rows = lists.select("unit_id", "term", "tf").join(lengths.select("unit_id", "n_terms"), "unit_id")
+    rows = rows.groupBy("term", F.floor(F.col("unit_id") / BLOCK).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    found = rows.groupBy("term").agg(F.sum("n").alias("n_found"))
+    best = idf(F.lit(float(n_docs)), F.col("n_found")) * F.array_max(F.transform("entries", lambda e: saturated(e["tf"], e["n_terms"], F.lit(mean))))
+    return rows.join(found, "term").select("term", "block", "n", best.alias("best"), "entries")
+
+
 def build_index(texts: DataFrame, path: str) -> int:
-    """Writes postings and lengths in place of any older index; returns the number of units.
+    """Writes the index in place of any older one, in one commit: a reader has all of the old one or all of the new one,
+    also if this run is killed on its way. Returns the number of units.
 
-    Postings are sorted by term over all files, so a reader of few terms skips most row groups by their bounds.
+    Postings are sorted by term over all files, so a reader of few terms skips most row groups by their bounds; blocks
+    are, by term and block. Lengths and postings are written before blocks are made of them.
     """
-    postings(texts).repartitionByRange("term", "unit_id").sortWithinPartitions("term", "unit_id").write.mode("overwrite").parquet(f"{path}/postings")
+    store = Store(texts.sparkSession, path)
+    base, parts = store.version(), Store(texts.sparkSession, f"{path}/_parts")
     lengths = texts.select("unit_id", "video_id", F.size(tokens(F.col("text"))).cast("long").alias("n_terms"))
-    lengths.write.mode("overwrite").parquet(f"{path}/index_units")
-    return read_index(texts.sparkSession, path).lengths.count()
+    parts.commit({"postings": Put(postings(texts)), "index_units": Put(lengths)})
+    lists, lengths = parts.read("postings"), parts.read("index_units")
+    corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("n_terms"), F.lit(0.0)).alias("mean"))
+    n_docs, mean = corpus.collect()[0]
+    ordered = lists.repartitionByRange("term", "unit_id").sortWithinPartitions("term", "unit_id")
+    blocks = blocks_of(lists, lengths, n_docs, mean).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+    store.commit({"postings": Put(ordered), "index_units": Put(lengths), "blocks": Put(blocks), "corpus": Put(corpus)}, base=base)
+    parts.vacuum(0)
+    return n_docs
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """The index that build_index() wrote; raises if there is none."""
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/index_units"))
+    """The index that build_index() wrote last; raises if there is none."""
+    store = Store(spark, path)
+    version = store.version()
+    if not version:
+        raise FileNotFoundError(f"[PATH_NOT_FOUND] no index in {path}")
+    lists, lengths, blocks, corpus = (store.read(x, version=version) for x in ("postings", "index_units", "blocks", "corpus"))
+    n_docs, mean = corpus.collect()[0]
+    return Index(lists, lengths, "unit_id", blocks, n_docs, mean)
 
 
 def index_corpus(units: DataFrame, sentences: DataFrame, path: str, *, level: int = 0) -> int:

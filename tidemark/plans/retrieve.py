@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import ACCENTED, PLAIN, split_words, tokens
 from tidemark.operators.intervals import merge_spans
-from tidemark.plans.index import Index
+from tidemark.plans.index import Index, idf, saturated
 from tidemark.settings import Retrieval
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Blocks with the greatest bounds that are read first, for the k-th score so far.
+FIRST = 32
+#: What scores may be rounded by.
+ROUNDED = 1e-6
 _FOLD = str.maketrans(ACCENTED, PLAIN)
 
 
@@ -59,7 +63,7 @@ def word_matches(words: DataFrame, index: Index, *, several: bool = True) -> Dat
     met = places.join(tokens_of, "words").join(lists.select("term", key, "positions"), ["term", key])
     starts = F.transform("positions", lambda x: x - F.col("at"))
     together = met.groupBy("words", key).agg(F.collect_list(starts).alias("starts"), F.first("m").alias("m")).where(F.size("starts") == F.col("m"))
-    f = F.size(F.aggregate(F.slice("starts", 2, 1_000_000), F.get("starts", F.lit(0)), F.array_intersect)).cast("long")
+    f = F.size(F.aggregate(F.slice("starts", 2, F.size("starts")), F.get("starts", F.lit(0)), F.array_intersect)).cast("long")
     return single.unionByName(together.select("words", key, f.alias("f")).where("f > 0"))
 
 
@@ -81,8 +85,7 @@ def bm25(phrases: DataFrame, index: Index, *, several: bool = True) -> DataFrame
     corpus = lengths.agg(F.struct(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("mean"))).scalar()
     n_docs, mean = corpus["n_docs"], corpus["mean"]
     found = matches.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
-    idf = F.ln((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    part = F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_terms") / mean))
+    part = idf(n_docs, F.col("n")) * saturated(F.col("f"), F.col("n_terms"), mean)
     parts = matches.join(found, "words").join(lengths, key).select("words", key, part.alias("part"))
     return parts.join(texts, "words").groupBy("qid", key).agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
 
@@ -98,17 +101,55 @@ def reciprocal_rank_fusion(rankings: DataFrame, key: str, rrf_k: int = 60) -> Da
     return rankings.groupBy(key).agg(F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), 9).alias("score"))
 
 
+def best_by_blocks(index: Index, times: dict[str, int], k: int, *, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
+    """qid, unit_id, score of the k best texts for single terms and how often each is asked; and which blocks (term,
+    block) were read for them.
+
+    A block's bound is the sum of what its terms add at most. The blocks with the greatest bounds are read first; those
+    whose bound is below the k-th score by then hold none of the k best, and their postings are never read.
+    """
+    asked = F.create_map(*(F.lit(x) for pair in times.items() for x in pair))
+    own = index.blocks.where(F.col("term").isin(sorted(times))).withColumn("times", F.element_at(asked, F.col("term")))
+    idfs = own.groupBy("term").agg(F.sum("n").alias("n_found")).select("term", idf(F.lit(float(index.n_docs)), F.col("n_found")).alias("idf"))
+    weights = {r["term"]: r["idf"] for r in idfs.collect()}  # a number for each term of the query
+    if not weights:
+        return own.select(F.lit(0).cast("long").alias("qid"), F.lit(0).cast("long").alias("unit_id"), F.lit(0.0).alias("score")).where("false"), own.select("term", "block").where("false")
+    weight = F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("term"))
+    bounds = own.groupBy("block").agg(F.sum(F.col("best") * F.col("times")).alias("bound"))
+    top = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(first).collect()]
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        entries = blocks.select("term", "times", F.explode("entries").alias("e"))
+        part = weight * saturated(F.col("e.tf"), F.col("e.n_terms"), F.lit(index.mean)) * F.col("times")
+        return entries.groupBy(F.col("e.unit_id").alias("unit_id")).agg(F.round(F.sum(part), 6).alias("score")).select(F.lit(0).cast("long").alias("qid"), "unit_id", "score")
+
+    begun = own.where(F.col("block").isin(top))
+    so_far = scored(begun).orderBy(F.desc("score"), "unit_id").limit(k)
+    best = so_far.collect()  # k at most
+    least = best[-1]["score"] if len(best) == k else None
+    if least is None:
+        return scored(own).orderBy(F.desc("score"), "unit_id").limit(k), own.select("term", "block")
+    others = bounds.where((F.col("bound") >= least - ROUNDED) & ~F.col("block").isin(top)).select("block")
+    more = own.join(others, "block", "left_semi")
+    found = index.blocks.sparkSession.createDataFrame([tuple(r) for r in best], so_far.schema).unionByName(scored(more))
+    return found.orderBy(F.desc("score"), "unit_id").limit(k), begun.select("term", "block").unionByName(more.select("term", "block"))
+
+
 def search_texts(spark: SparkSession, index: Index, query: str, k: int, video_id: str | None = None) -> DataFrame:
     """unit_id, score, rank. A video filter comes after the statistics, which are those of the whole corpus.
 
     The query's terms are literals in the filter of the postings, which a stored index answers from the row groups that
-    may hold them.
+    may hold them. Without a filter by video and phrases of several tokens it reads blocks, see best_by_blocks().
     """
     phrases = query_phrases(spark, query)
     tokens_of = phrases.select("term", "at").collect()  # those of one query
+    several = any(r["at"] for r in tokens_of)
+    if index.blocks is not None and video_id is None and tokens_of and not several:
+        best, _ = best_by_blocks(index, dict(Counter(r["term"] for r in tokens_of)), k)
+        return top_k(best, k).select("unit_id", "score", "rank")
     terms = sorted({r["term"] for r in tokens_of})
     few = Index(index.postings.where(F.col("term").isin(terms)), index.lengths, index.key)
-    scores = bm25(phrases, few, several=any(r["at"] for r in tokens_of))
+    scores = bm25(phrases, few, several=several)
     if video_id is not None:
         scores = scores.join(index.lengths.where(F.col("video_id") == video_id).select("unit_id"), "unit_id", "left_semi").select("qid", "unit_id", "score")
     best = scores.orderBy(F.desc("score"), "unit_id").limit(k)

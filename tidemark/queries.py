@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -17,8 +18,9 @@ from tidemark.operators import align, intervals, segment, speech, stages
 from tidemark.plans import index, retrieve
 from tidemark.schema import orphans, removed
 from tidemark.settings import Clips, Retrieval, Scenes, Settings, Speech
-from tidemark.sources import corpus
+from tidemark.sources import corpus, files
 from tidemark.sources.corpus import table
+from tidemark.sources.generations import Replace, Store, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,7 +66,13 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> index.Index:
-    return index.index_of(_texts(spark, d))
+    """The stored index of the clips' texts; built where there is none yet of these files."""
+    path = f"{shared_folder(spark)}/clip_index/{files.fingerprint(spark, f'{d}/conversations.parquet')}"
+    try:
+        return index.read_index(spark, path)
+    except FileNotFoundError:
+        index.build_index(_texts(spark, d), path)
+        return index.read_index(spark, path)
 
 
 def _seconds(spark: SparkSession, d: str) -> DataFrame:
@@ -548,6 +556,19 @@ def stage_done(spark: SparkSession, d: str) -> DataFrame:
     return stages.stage_done(_runs(spark, d), "1-URGENT", "h1995")
 
 
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus, 1::BIGINT AS generation FROM orders WHERE o_custkey % 3 <> 0
+    UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, 2 FROM orders WHERE o_custkey % 3 = 0 AND o_custkey % 2 = 1 AND o_orderstatus = 'F'
+    UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, 3 FROM orders WHERE o_custkey % 6 = 0 AND o_orderstatus = 'O'""")
+def replace_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of customers in three generations: all; those of every third customer anew, only finished ones; of those with even numbers once more, only open ones."""
+    orders, customers = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), table(spark, d, "customer").select("c_custkey")
+    store = Store(spark, f"{shared_folder(spark)}/replace_by_key/{uuid.uuid4().hex}")
+    for n, (own, kept) in enumerate((("true", "true"), ("o_custkey % 3 = 0", "o_orderstatus = 'F'"), ("o_custkey % 6 = 0", "o_orderstatus = 'O'")), 1):
+        rows = orders.where(f"{own} AND {kept}").withColumn("generation", F.lit(n).cast("long"))
+        store.commit({"orders": Replace(rows, "o_custkey", customers.where(own.replace("o_", "c_")))})
+    return store.read("orders")
+
+
 @query(f"WITH {_RUNS}, lines AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1) SELECT pass_name, status, count(*) AS n_runs, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_out FROM runs LEFT JOIN lines USING (id) GROUP BY ALL")
 def stage_rows_out(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))

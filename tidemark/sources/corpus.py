@@ -41,10 +41,15 @@ def videos(all_turns: DataFrame) -> DataFrame:
 
 
 def clips(all_videos: DataFrame, settings: Clips) -> DataFrame:
-    """unit_id, video_id, unit_no, t_start, t_end of fixed windows; unit_id joins the video's number and the window's."""
+    """unit_id, video_id, unit_no, t_start, t_end of fixed windows; unit_id joins the video's number and the window's.
+
+    A video has room for a million windows there; those beyond have negative ids, of which none can be another's.
+    """
     spans = fixed_spans(F.col("duration_s"), settings.target_s, settings.target_s * settings.stride_ratio, settings.min_s)
     rows = all_videos.select("video_id", F.posexplode(spans).alias("unit_no", "s"))
-    return rows.select((F.col("video_id").cast("long") * 1_000_000 + F.col("unit_no")).alias("unit_id"), "video_id", F.col("unit_no").cast("long").alias("unit_no"), "s.t_start", "s.t_end")
+    video, no = F.col("video_id").cast("long"), F.col("unit_no").cast("long")
+    unit_id = F.when(no < 1_000_000, video * 1_000_000 + no).otherwise(-(video * (1 << 31) + no))
+    return rows.select(unit_id.alias("unit_id"), "video_id", F.col("unit_no").cast("long").alias("unit_no"), "s.t_start", "s.t_end")
 
 
 def event_seconds(events: DataFrame) -> DataFrame:
