@@ -21,9 +21,11 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ SLICE = 8_000_000
 #: Parts of the segments' hashes and of the first ids. One task holds the distinct segments, or pairs, of a part, so their
 #: number doubles with each doubling of the texts beyond so many bytes.
 PARTS, PARTS_BYTES = 512, 16_000_000_000
+#: Rounds in which slices are put together, so that only so great a part of the answers moves at a time.
+ROUNDS = 4
 _WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 _CONTINUES = np.array([0x80 <= c <= 0xBF for c in range(256)])
 _VISIBLE = np.array([0x21 <= c <= 0x7E for c in range(256)])
@@ -163,10 +167,10 @@ def _split(data: bytes, sizes: np.ndarray) -> list[bytes]:
 
 
 #: A slice's documents (part -1: names, nulls, counts of segments, codes of segments), or its distinct segments of a part
-#: (from the code `first` on: joined bytes, sizes).
-CUT = "slice long, part int, first int, names binary, nulls binary, counts binary, codes binary, data binary, sizes binary"
+#: (from the code `first` on: joined bytes, sizes). `round` is that of the slice, or -1 for segments.
+CUT = "round int, slice long, part int, first int, names binary, nulls binary, counts binary, codes binary, data binary, sizes binary"
 #: For each segment its numbers (0: no alignment, else 1; ids of both, groups), its groups' text, and its pairs.
-ANSWERS = "slice long, first int, numbers binary, groups binary, groups_sizes binary, pairs binary, pairs_sizes binary"
+ANSWERS = "round int, slice long, first int, numbers binary, groups binary, groups_sizes binary, pairs binary, pairs_sizes binary"
 #: A slice's documents put together (part -1), or its distinct pairs of a part, in how many of its documents each is.
 TALLIES = "slice long, part int, first int, names binary, nulls binary, numbers binary, digests binary, groups binary, groups_sizes binary, counts binary, codes binary, often binary, pairs binary"
 TOTALS = "part int, pairs binary, totals binary, best binary"
@@ -199,9 +203,9 @@ def _cut_rows(before: bytes, parts: int):
                 for k, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                     if y > x:
                         a, b = starts[chosen[x:y]], ends[chosen[x:y]]
-                        out.append((number, k, x, None, None, None, None, b"".join(joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)), (b - a).astype("<u4").tobytes()))
+                        out.append((-1, number, k, x, None, None, None, None, b"".join(joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)), (b - a).astype("<u4").tobytes()))
             ids = np.array([x or 0 for x in names], "<i8").tobytes()
-            out.append((number, -1, -1, ids, bytes(x is None for x in names), all_counts.tobytes(), codes.astype("<u4").tobytes(), None, None))
+            out.append((number % ROUNDS, number, -1, -1, ids, bytes(x is None for x in names), all_counts.tobytes(), _squeezed(codes.astype("<u4")), None, None))
             yield _batch(out, CUT)
             del own, joined, starts, ends, codes, out
             trim()
@@ -238,8 +242,8 @@ def _answers(a_path: str, b_path: str):
                         known[x] = (0, 0, 0, 0), b"", b"", 0
                 found = [known[x] for x in segments]
                 out = (
-                    number, first, np.array([x[0] for x in found], "<u4").tobytes(), b"".join([x[1] for x in found]), np.array([len(x[1]) for x in found], "<u4").tobytes(),
-                    b"".join([x[2] for x in found]), np.array([x[3] for x in found], "<u4").tobytes(),
+                    number % ROUNDS, number, first, _squeezed(np.array([x[0] for x in found], "<u4").T), _compressed(b"".join([x[1] for x in found])), _squeezed(np.array([len(x[1]) for x in found], "<u4")),
+                    _squeezed(np.frombuffer(b"".join([x[2] for x in found]), kind)), _squeezed(np.array([x[3] for x in found], "<u4")),
                 )
                 yield _batch([out], ANSWERS)
 
@@ -259,8 +263,26 @@ def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers compressed, the first bytes of all before the second ones of all, as they are alike."""
+    return _compressed(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes())
+
+
+def _compressed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _expanded(data: bytes, kind: str = "<u4") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(np.frombuffer(_plain(data), np.uint8).reshape(width, -1).T.tobytes(), kind)
+
+
+def _plain(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data) if data else b""
+
+
 def _numbers(data: list[bytes], kind: str = "<u4") -> np.ndarray:
-    return np.frombuffer(b"".join(data), kind)
+    return np.concatenate([np.zeros(0, kind), *(_expanded(x, kind) for x in data)])
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -277,9 +299,9 @@ def _tallies(small: bool, keep_groups: bool, parts: int):
         for rows in _by_slice(batches):
             # the slice's own row is the first; then its segments' answers in the order of their codes
             (number, _, names, nulls, counts, codes, *_), *answers = rows
-            counts, codes = np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(codes, "<u4").astype(np.int64)
-            numbers = _numbers([x[6] for x in answers]).reshape(-1, 4).astype(np.int64)
-            groups = [g for x in answers for g in _split(x[7], np.frombuffer(x[8], "<u4"))]
+            counts, codes = np.frombuffer(counts, "<u4").astype(np.int64), _expanded(codes).astype(np.int64)
+            numbers = np.concatenate([np.zeros((0, 4), "<u4"), *(_expanded(x[6]).reshape(4, -1).T for x in answers)]).astype(np.int64)
+            groups = [g for x in answers for g in _split(_plain(x[7]), _expanded(x[8]))]
             pairs, sizes = _numbers([x[9] for x in answers], kind), _numbers([x[10] for x in answers]).astype(np.int64)
             bounds = np.append(0, np.cumsum(counts))
             good = (_sums(numbers[codes, 0], counts) == counts) & (counts > 0)
@@ -315,10 +337,10 @@ def _tallies(small: bool, keep_groups: bool, parts: int):
             chosen = used[by_part]
             edges = np.searchsorted(part[by_part], np.arange(parts + 1)).tolist()
             none = (None,) * 9
-            out = [(number, k, x, *none[:-1], in_docs[chosen[x:y]].astype("<u4").tobytes(), values[chosen[x:y]].tobytes()) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+            out = [(number, k, x, *none[:-1], _squeezed(in_docs[chosen[x:y]].astype("<u4")), _squeezed(values[chosen[x:y]])) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
             # values are ascending within a part, as used is and the sort is stable
             pair_counts = np.bincount(pair_doc, minlength=len(counts)).astype("<u4")
-            out.append((number, -1, -1, names, nulls, per_doc.astype("<i8").tobytes(), b"".join(digests), b"".join(kept), np.array([len(x) for x in kept], "<u4").tobytes(), pair_counts.tobytes(), place[pair].astype("<u4").tobytes(), often.astype("<u4").tobytes(), None))
+            out.append((number, -1, -1, names, nulls, per_doc.astype("<i8").tobytes(), b"".join(digests), _compressed(b"".join(kept)), np.array([len(x) for x in kept], "<u4").tobytes(), pair_counts.tobytes(), _squeezed(place[pair].astype("<u4")), _squeezed(often.astype("<u4")), None))
             yield _batch(out, TALLIES)
             del rows, answers, groups, pairs, key, weight, order, source, out
             trim()
@@ -340,7 +362,7 @@ def _totals(small: bool):
         ids = values >> values.dtype.type(shift)
         begins = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         most = np.repeat(np.maximum.reduceat(total, begins), np.diff(np.append(begins, len(ids))))
-        return _batch([(part, values.tobytes(), total.astype("<i8").tobytes(), (total == most).tobytes())], TOTALS)
+        return _batch([(part, _squeezed(values), _squeezed(total.astype("<i8")), (total == most).tobytes())], TOTALS)
 
     def run(batches):
         held, waiting, at = [], 0, None
@@ -350,7 +372,7 @@ def _totals(small: bool):
                     yield row(at, held)
                     held, waiting = [], 0
                 at = part
-                held.append((np.frombuffer(pairs, kind), np.frombuffer(often, "<u4").astype(np.int64)))
+                held.append((_expanded(pairs, kind), _expanded(often).astype(np.int64)))
                 waiting += len(held[-1][0])
                 if waiting > 1_000_000 and len(held) > 1:
                     held, waiting = [added(held)], 0
@@ -368,12 +390,12 @@ def _replies(small: bool):
         for batch in batches:
             out = []
             for number, first, pairs, total, top in zip(*(batch.column(c).to_pylist() for c in ("slice", "first", "pairs", "totals", "best")), strict=True):
-                own = np.frombuffer(pairs, kind)
+                own = _expanded(pairs, kind)
                 if number is None:  # the part's totals come first
-                    values, totals, best = own, np.frombuffer(total, "<i8"), np.frombuffer(top, bool)
+                    values, totals, best = own, _expanded(total, "<i8"), np.frombuffer(top, bool)
                     continue
                 at = np.searchsorted(values, own)
-                out.append((number, first, totals[at].tobytes(), best[at].tobytes()))
+                out.append((number, first, _squeezed(totals[at]), _compressed(best[at].tobytes())))
             yield _batch(out, REPLIES)
 
     return run
@@ -383,12 +405,12 @@ def _documents(keep_groups: bool):
     def run(batches):
         for rows in _by_slice(batches):
             (_, _, names, nulls, numbers, digests, groups, groups_sizes, counts, codes, often, *_), *replies = rows
-            counts, codes, often = np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(codes, "<u4").astype(np.int64), np.frombuffer(often, "<u4").astype(np.int64)
+            counts, codes, often = np.frombuffer(counts, "<u4").astype(np.int64), _expanded(codes).astype(np.int64), _expanded(often).astype(np.int64)
             totals, best = _numbers([x[11] for x in replies], "<i8"), _numbers([x[12] for x in replies], "?")
             numbers = np.frombuffer(numbers, "<i8").reshape(-1, 4)
             n_best, count_sum = _sums(often * best[codes], counts), _sums(often * totals[codes], counts)
             digest = [digests[32 * k : 32 * k + 32].hex() if numbers[k, 0] else "" for k in range(len(counts))]
-            kept = [x.decode() for x in _split(groups, np.frombuffer(groups_sizes, "<u4"))] if keep_groups else [None] * len(counts)
+            kept = [x.decode() for x in _split(_plain(groups), np.frombuffer(groups_sizes, "<u4"))] if keep_groups else [None] * len(counts)
             columns = [pa.array(np.frombuffer(names, "<i8"), mask=np.frombuffer(nulls, bool)), *(pa.array(numbers[:, k]) for k in range(4)), pa.array(n_best), pa.array(count_sum), pa.array(digest, pa.string()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DOCUMENTS.split(", ")])
 
@@ -423,14 +445,19 @@ def align(docs: DataFrame, *, a_path: str | None = None, b_path: str | None = No
     scratch = Scratch(docs.sparkSession, "alignment")
     small = Pair(a_path, b_path).small
     parts = parts_for(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).collect()[0][0] or 0)
-    held = scratch.table(map_arrow(texts(docs), _cut_rows(starters(a_path, b_path), parts), CUT), "cut")
-    n_slices = held.where("part < 0").count()
+    held = scratch.table(map_arrow(texts(docs), _cut_rows(starters(a_path, b_path), parts), CUT), "cut", partition_by="round")
+    n_slices = held.where("round >= 0").count()
     by_part, by_slice = partitions_for(docs.sparkSession, parts, PARTS // 8), partitions_for(docs.sparkSession, n_slices, 4)
-    asked = held.where("part >= 0").select("slice", "part", "first", "data", "sizes").repartition(by_part, "part").sortWithinPartitions("part")
-    answers = scratch.table(map_arrow(asked, _answers(a_path, b_path), ANSWERS), "answers")
-    own = held.where("part < 0").select("slice", "first", "names", "nulls", "counts", "codes")
-    tallies = scratch.table(map_arrow(_together(own, answers, by_slice), _tallies(small, groups, parts), TALLIES), "tallies")
-    scratch.drop("cut", "answers")
+    asked = held.where("round = -1").select("slice", "part", "first", "data", "sizes").repartition(by_part, "part").sortWithinPartitions("part")
+    answers = scratch.table(map_arrow(asked, _answers(a_path, b_path), ANSWERS), "answers", partition_by="round")
+    scratch.drop("cut/round=-1")
+    own = held.select("round", "slice", "first", "names", "nulls", "counts", "codes")
+    each = []
+    for n in range(ROUNDS):
+        both = _together(own.where(F.col("round") == n).drop("round"), answers.where(F.col("round") == n).drop("round"), by_slice)
+        each.append(scratch.table(map_arrow(both, _tallies(small, groups, parts), TALLIES), f"tallies_{n}"))
+        scratch.drop(f"cut/round={n}", f"answers/round={n}")
+    tallies = reduce(DataFrame.unionByName, each)
     requests = tallies.where("part >= 0").select("slice", "part", "first", "often", "pairs")
     totals = scratch.table(map_arrow(requests.select("part", "often", "pairs").repartition(by_part, "part").sortWithinPartitions("part"), _totals(small), TOTALS), "totals")
     both = requests.drop("often").unionByName(totals, allowMissingColumns=True).repartition(by_part, "part").sortWithinPartitions("part", F.col("slice").asc_nulls_first())
@@ -446,8 +473,8 @@ def _pair_rows(small: bool):
     def run(batches):
         for batch in batches:
             for pairs, totals, best in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
-                values = np.frombuffer(pairs, kind).astype(np.int64)
-                columns = [values >> shift, values & ((1 << shift) - 1), np.frombuffer(totals, "<i8"), np.frombuffer(best, bool)]
+                values = _expanded(pairs, kind).astype(np.int64)
+                columns = [values >> shift, values & ((1 << shift) - 1), _expanded(totals, "<i8"), np.frombuffer(best, bool)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "n_docs", "best"])
 
     return run
