@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fold import group_starts, groups, sorted_items
 from tidemark.functions.text import encode_word, ends_sentence, strip
+from tidemark.operators.timelines import CHUNK, Rule, greedy_groups, spans_of
 from tidemark.settings import Speech
 
 
@@ -51,6 +52,22 @@ def align_windows(words: DataFrame, max_window_s: float, key: str = "video_id")
     )
 
 
+def sentences_of_timeline(words: DataFrame, settings: Speech, key: str = "video_id", *, chunk: int = CHUNK) -> DataFrame:
+    """The rows of split_sentences() for time lines of any length: no task has more of one than a chunk of its words."""
+    rule = Rule(after=True, max_s=settings.max_seconds, max_items=settings.max_words)
+    marked = words.withColumn("_stop", ends_sentence(F.col("text")))
+    grouped = greedy_groups(marked.select(key, "t_start", "t_end", "text", "_stop"), rule, ["t_start", "t_end", "text", "_stop"], key=key, ends=F.col("_stop"), chunk=chunk)
+    text = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda w: strip(w["text"]))
+    rows = grouped.groupBy(key, F.col("group_no").alias("sentence_no")).agg(F.min_by("t_start", "pos").alias("t_start"), F.max_by("t_end", "pos").alias("t_end"), F.count(F.lit(1)).alias("n_words"), strip(F.array_join(text, " ")).alias("text"))
+    return rows.select(key, "sentence_no", "t_start", "t_end", "n_words", "text")
+
+
+def windows_of_timeline(words: DataFrame, max_window_s: float, key: str = "video_id", *, chunk: int = CHUNK) -> DataFrame:
+    """The rows of align_windows() in the same way."""
+    grouped = greedy_groups(words.select(key, "t_start", "t_end"), Rule(after=False, max_s=max_window_s, strict=True), ["t_start", "t_end"], key=key, chunk=chunk)
+    return spans_of(grouped, key=key).select(key, F.col("group_no").alias("window_no"), F.col("first_pos").alias("first_word"), F.col("n").alias("n_words"), "t_start", "t_end")
+
+
 def retime(words: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
     """words with the times of the updates (key, new_start, new_end) where there are any."""
     met = words.join(updates, key, "left")

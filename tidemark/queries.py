@@ -14,7 +14,7 @@ from tidemark.functions import media
 from tidemark.functions import text as words_of
 from tidemark.functions.media import probe_info, sample_range
 from tidemark.functions.text import encode_word, normalize_word, tokens, word_count
-from tidemark.operators import align, intervals, segment, speech, stages
+from tidemark.operators import align, intervals, segment, speech, stages, timelines
 from tidemark.plans import index, retrieve
 from tidemark.schema import orphans, removed
 from tidemark.settings import Clips, Retrieval, Scenes, Settings, Speech
@@ -419,6 +419,37 @@ def merge_spans(spark: SparkSession, d: str) -> DataFrame:
     return _listed(intervals.ranked_spans(intervals.merge_spans(corpus.event_spans(_seconds(spark, d), 21_600.0), 7_200.0)))
 
 
+@query(ORACLE_SQL["split_sentences"])
+def timeline_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of split_sentences, by cuts that no task follows through a whole conversation."""
+    return speech.sentences_of_timeline(_words(spark, d), Speech())
+
+
+@query(ORACLE_SQL["align_windows"])
+def timeline_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of align_windows in the same way."""
+    return speech.windows_of_timeline(_words(spark, d), 20.0)
+
+
+@query(f"WITH {_SECONDS}, spans AS (SELECT video_id, t AS t_start, t + 21600 AS t_end, value AS score, event_id AS unit_id FROM seconds), {_MERGE.format(gap=7200, rows='spans')}")
+def timeline_islands(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of merge_spans, sorted within days."""
+    return _listed(timelines.merge_islands(corpus.event_spans(_seconds(spark, d), 21_600.0), 7_200.0, bucket_s=86_400.0))
+
+
+_MIXED = "long_and_short AS (SELECT video_id, event_id AS id, t AS t_start, t + CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3600 ELSE 86400 END AS t_end FROM seconds), asked AS (SELECT video_id, event_id AS id, t - 300 AS t_start, t + value AS t_end FROM seconds)"
+
+
+@query(f"WITH {_SECONDS}, {_MIXED} SELECT a.video_id, a.id, b.id AS b_id FROM long_and_short a JOIN asked b ON a.video_id = b.video_id AND b.t_start < a.t_end AND b.t_end > a.t_start")
+def dyadic_join(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of a second, an hour and a day from each event, and spans of minutes around them."""
+    seconds = _seconds(spark, d)
+    length = F.element_at(F.array(F.lit(1), F.lit(3600), F.lit(86_400)), (F.col("event_id") % 3 + 1).cast("int"))
+    mixed = seconds.select("video_id", F.col("event_id").alias("id"), F.col("t").alias("t_start"), (F.col("t") + length).alias("t_end"))
+    asked = seconds.select("video_id", F.col("event_id").alias("id"), (F.col("t") - 300).alias("t_start"), (F.col("t") + F.col("value")).alias("t_end"))
+    return timelines.overlaps(mixed, asked).select("video_id", "id", "b_id")
+
+
 _DENSITY = r"spoken AS (SELECT video_id, sum(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) AS n FROM turns GROUP BY video_id), dense AS (SELECT v.video_id, duration_s, coalesce(n, 0) / duration_s AS density FROM videos v LEFT JOIN spoken USING (video_id))"
 
 
