@@ -1,8 +1,8 @@
 """Personal data: candidate spans proposed with high recall, and boosted trees that choose among them.
 
-Fixed patterns with their checks give the base spans, which always stay. Generators propose more, of any length and
-overlapping each other: spelt-out addresses, digit runs, and their neighbouring groups. Trees score a candidate by its
-format and the words around it.
+Fixed patterns with their checks give the base spans, which always stay. Generators propose more that overlap each
+other: spelt-out addresses, whole digit runs, and their neighbouring groups of up to 19 digits together. Trees score a
+candidate by its format and the words around it.
 
 No table says what is personal, so the trees learn from examples that are planted: snippets of the corpus's own texts
 into which numbers and addresses of many written forms are put, personal ones and others that look alike (dates, prices,
@@ -16,8 +16,10 @@ there.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from random import Random
@@ -43,8 +45,8 @@ _AT, _DOT = r"(?:\s?(?:@|\(at\)|\[at\])\s?|\sat\s)", r"(?:\s?(?:\.|\(dot\)|\[dot
 _SPELT = re.compile(rf"(?<![{_LOCAL}])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+")
 _RUN = re.compile(r"[+(]*+[0-9][0-9\x20().\-/]*+")
 _TOKEN = re.compile(r"[^\x20]++")
-#: Neighbouring groups of a digit run that are a candidate together, besides the whole run; digits of a candidate.
-_TOGETHER, _LEAST_DIGITS = 5, 7
+#: Digits of a candidate. Neighbouring groups of a digit run with so many together are candidates, besides the whole run.
+_LEAST_DIGITS, _MOST_DIGITS = 7, 19
 _CUES = {
     "phone": ("phone", "tel", "telephone", "call", "mobile", "cell", "fax", "dial", "whatsapp", "telefon"), "mail": ("mail", "email", "contact", "write", "reach"), "card": ("card", "visa", "credit", "amex"),
     "own": ("ssn", "social", "passport", "account", "iban", "patient", "member", "security"), "other": ("order", "invoice", "version", "page", "isbn", "item", "part", "ref", "ticket", "no", "sku", "build", "population"),
@@ -97,6 +99,30 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+class Taken:
+    """Parts of a text that are taken, as disjoint spans in order: whether a span meets one is asked by bisection."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, _ in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+    def add(self, a: int, b: int) -> None:
+        """A span that meets none."""
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def candidates(text: str) -> list[Span]:
     """Spans that may overlap each other and the base spans."""
     found: list[Span] = []
@@ -107,9 +133,15 @@ def candidates(text: str) -> list[Span]:
         if m.end() - m.start() < _LEAST_DIGITS:
             continue
         spans = {_trimmed(text, m.start(), m.end())}
-        tokens = [t.span() for t in _TOKEN.finditer(text, m.start(), m.end())]
+        tokens = [(*t.span(), n) for t in _TOKEN.finditer(text, m.start(), m.end()) if (n := len(_digits(t[0])))]
         for k in range(len(tokens)) if len(tokens) > 1 else ():
-            spans.update(_trimmed(text, tokens[k][0], end) for _, end in tokens[k : k + _TOGETHER])
+            held = 0
+            for _, end, n in itertools.islice(tokens, k, k + _MOST_DIGITS):  # a token has a digit at least
+                held += n
+                if held > _MOST_DIGITS:
+                    break
+                if held >= _LEAST_DIGITS:
+                    spans.add(_trimmed(text, tokens[k][0], end))
         found += [(a, b, "number") for a, b in sorted(spans) if b - a >= _LEAST_DIGITS and len(_digits(text[a:b])) >= _LEAST_DIGITS]
     return found
 
@@ -230,9 +262,9 @@ def _sampled(batches):
             text = (raw or b"").decode("utf-8", "replace")
             name = hashlib.blake2b(f"{doc_id}:{text}".encode(), digest_size=7).digest()
             rng, kept_out = Random(name), int(zlib.crc32(name) % 4 == 0)
-            base = base_spans(text)
+            base = Taken(base_spans(text))
             for n, (a, b, kind) in enumerate(candidates(text)):
-                if not any(x < b and a < y for x, y, _ in base):
+                if not base.meets(a, b):
                     out.append((int.from_bytes(hashlib.blake2b(b"%b:%d" % (name, n), digest_size=7).digest(), "little"), kind, "own text", kept_out, 0, features(text, a, b)))
             begin = rng.randrange(max(1, len(text) - 300))
             for n, form in enumerate(rng.sample([x for x, (_, only_out, _) in FORMS.items() if kept_out or not only_out], 8)):
@@ -283,16 +315,19 @@ def choosers(rows: list, precision: float) -> dict[str, Chooser]:
 
 def chosen(models: dict[str, Chooser], data: list[tuple[str, list[Span]]]) -> list[list[Span]]:
     """Of each text's candidates (text, base spans) those above their kind's threshold; of overlapping ones the best."""
-    asked = [(k, x) for k, (text, base) in enumerate(data) for x in candidates(text) if models[x[2]].model and not any(a < x[1] and x[0] < b for a, b, _ in base)]
+    taken = [Taken(base) for _, base in data]
+    asked = [(k, x) for k, (text, _) in enumerate(data) for x in candidates(text) if models[x[2]].model and not taken[k].meets(x[0], x[1])]
     out: list[list[Span]] = [[] for _ in data]
     found = []
     for kind, model in models.items():
-        own = [(k, x) for k, x in asked if x[2] == kind]
-        if own:
+        every = [(k, x) for k, x in asked if x[2] == kind]
+        for first in range(0, len(every), 10_000):
+            own = every[first : first + 10_000]
             p = model.probability(np.array([features(data[k][0], a, b) for k, (a, b, _) in own]))
             found += [(-score, k, x) for (k, x), score in zip(own, p.tolist(), strict=True) if score >= model.threshold]
     for _, k, (a, b, kind) in sorted(found):
-        if not any(x < b and a < y for x, y, _ in out[k]):
+        if not taken[k].meets(a, b):
+            taken[k].add(a, b)
             out[k].append((a, b, kind))
     return out
 
@@ -351,7 +386,8 @@ def find_pii(docs: DataFrame, *, snippets: int = SNIPPETS, sample: int = SAMPLE,
 
     spans are kind:start:end in code points, end exclusive, comma-joined by kind and then start. A null or empty text has
     none. Rows that repeat a doc_id, or have none, each get their row. A text of any length is read whole, in time that
-    grows with its length; a run of digits of any length is one candidate. Of overlapping candidates that are chosen the
+    grows with its length: a run of digits of any length is one candidate, and so are its neighbouring groups of up to
+    19 digits together, of which each group begins 19 at most. Of overlapping candidates that are chosen the
     best-scored stays, of equal ones the one that begins first; one that overlaps a base span is left to it. With too
     few texts to learn from, the base spans are all. An empty table gives no rows; other columns are left behind.
     """
