@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -11,22 +12,29 @@ from pyspark.sql import functions as F
 CLOSING = "\"'”’)]»"
 TERMINAL = ".!?…"
 
-#: Blocks of code points whose letters may have accents: Latin-1 to Latin Extended-B, Greek, Cyrillic, Latin Extended Additional, Greek Extended.
-_BLOCKS = ((0x00C0, 0x0250), (0x0370, 0x0530), (0x1E00, 0x2000))
+#: The marks that are dropped after a letter, and letters that count as another one.
+MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
+VARIANTS = {"µ": "μ", "ſ": "s", "ς": "σ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε", "ẛ": "s", "\u1fbe": "ι"}
 
+#: Latin-1 to Latin Extended-B, and Latin Extended Additional.
+_BLOCKS = ((0x00C0, 0x0250), (0x1E00, 0x1F00))
 
-def _accents() -> tuple[str, str]:
-    """Lower-case letters that are a letter and marks by canonical decomposition, and those letters."""
-    pairs = {}
+
+def _folded() -> tuple[str, str]:
+    """Lower-case letters that are a Latin letter and one mark by canonical decomposition, with those letters, and the
+    variants. Letters with two marks and those of other scripts stay as they are."""
+    pairs = dict(VARIANTS)
     for a, b in _BLOCKS:
         for c in map(chr, range(a, b)):
             base, *marks = unicodedata.normalize("NFD", c)
-            if c == c.lower() and marks and all(map(unicodedata.combining, marks)) and base.isalpha():
+            if c == c.lower() and len(marks) == 1 and unicodedata.combining(marks[0]) and "a" <= base <= "z":
                 pairs[c] = base
     return "".join(pairs), "".join(pairs.values())
 
 
-ACCENTED, PLAIN = _accents()
+ACCENTED, PLAIN = _folded()
+#: What tokens consist of, after folding.
+TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
 def strip(text: Column) -> Column:
@@ -48,13 +56,22 @@ def ends_sentence(word: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, of letters that carry them and of marks that follow a letter."""
-    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{M}+", "")
+    """Lower case, Latin letters without their mark where they have one, and without the marks that follow letters."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), f"[{MARKS}]+", "")
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits of the folded text."""
-    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters, digits and private-use characters of the folded text; other marks part tokens."""
+    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+
+_FOLD = str.maketrans(ACCENTED, PLAIN, MARKS)
+_TOKEN = re.compile("(?:[^\\W_]|[\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd])+")
+
+
+def tokens_of(text: str) -> list[str]:
+    """The tokens of one query on the driver."""
+    return _TOKEN.findall(text.lower().translate(_FOLD))
 
 
 def escape_query(query: Column) -> Column:

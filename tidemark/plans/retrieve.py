@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import ACCENTED, PLAIN, split_words, tokens
+from tidemark.functions.text import split_words, tokens, tokens_of
 from tidemark.operators.intervals import merge_spans
 from tidemark.plans.index import Index, idf, saturated
 from tidemark.settings import Retrieval
@@ -18,14 +16,13 @@ from tidemark.settings import Retrieval
 FIRST = 32
 #: What scores may be rounded by.
 ROUNDED = 1e-6
-_FOLD = str.maketrans(ACCENTED, PLAIN)
 
 
 def query_phrases(spark: SparkSession, query: str) -> DataFrame:
     """qid, phrase, at, term of one query: each white-space separated term is a phrase of its tokens; quotes are blanks."""
     rows = []
     for phrase, term in enumerate(query.replace('"', " ").split()):
-        for at, token in enumerate(re.findall(r"[^\W_]+", "".join(c for c in term.lower().translate(_FOLD) if not unicodedata.category(c).startswith("M")))):
+        for at, token in enumerate(tokens_of(term)):
             rows.append((0, phrase, at, token))
     return spark.createDataFrame(rows, "qid long, phrase int, at int, term string")
 
@@ -142,12 +139,12 @@ def search_texts(spark: SparkSession, index: Index, query: str, k: int, video_id
     may hold them. Without a filter by video and phrases of several tokens it reads blocks, see best_by_blocks().
     """
     phrases = query_phrases(spark, query)
-    tokens_of = phrases.select("term", "at").collect()  # those of one query
-    several = any(r["at"] for r in tokens_of)
-    if index.blocks is not None and video_id is None and tokens_of and not several:
-        best, _ = best_by_blocks(index, dict(Counter(r["term"] for r in tokens_of)), k)
+    asked = phrases.select("term", "at").collect()  # those of one query
+    several = any(r["at"] for r in asked)
+    if index.blocks is not None and video_id is None and asked and not several:
+        best, _ = best_by_blocks(index, dict(Counter(r["term"] for r in asked)), k)
         return top_k(best, k).select("unit_id", "score", "rank")
-    terms = sorted({r["term"] for r in tokens_of})
+    terms = sorted({r["term"] for r in asked})
     few = Index(index.postings.where(F.col("term").isin(terms)), index.lengths, index.key)
     scores = bm25(phrases, few, several=several)
     if video_id is not None:

@@ -114,7 +114,7 @@ _CLIPS = f"""{_WORDS}, clips AS MATERIALIZED (
 
 
 def _tokens_sql(text: str) -> str:
-    return rf"regexp_extract_all(strip_accents(lower({text})), '[\p{{L}}\p{{N}}]+')"
+    return rf"regexp_extract_all(regexp_replace(translate(lower({text}), '{words_of.ACCENTED}', '{words_of.PLAIN}'), '[{words_of.MARKS}]+', '', 'g'), '{words_of.TOKEN}')"
 
 
 def _bm25_sql(texts: str, phrases: str) -> str:
