@@ -100,11 +100,25 @@ def texts(docs: DataFrame) -> DataFrame:
 ROW = "__row"
 
 
+def _aside(docs: DataFrame) -> str:
+    """The name of a column of docs called ROW while rows are named: one that docs lacks."""
+    taken, name = {c.lower() for c in docs.columns}, ROW
+    while name in taken:
+        name += "_"
+    return name
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs, to be selected from rows of with_rows(docs)."""
+    return [F.col(_aside(docs)).alias(c) if c.lower() == ROW else F.col(f"`{c}`") for c in docs.columns]
+
+
 def with_rows(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """docs with a column ROW that differs in all rows, and whether that is doc_id.
+    """docs with a column ROW that differs in all rows, and whether that is doc_id. own_columns() are those of docs.
 
     It is doc_id where no id is null or repeats; else a number that is written with the row, so it stays the same.
     """
+    docs = docs.withColumnsRenamed({c: _aside(docs) for c in docs.columns if c.lower() == ROW})
     own = F.col("doc_id").cast("long")
     if docs.groupBy(own.alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
         return docs.withColumn(ROW, own), True

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, Scratch, by_row, map_arrow, slices, texts, with_rows
+from tidemark.llm.common import ROW, Scratch, by_row, map_arrow, own_columns, slices, texts, with_rows
 
 #: Words in a window; an item of fewer is one window.
 WINDOW = 10
@@ -270,4 +270,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WIND
     """The rows without an exact match, with all their columns."""
     rows, _ = with_rows(docs, Scratch(docs.sparkSession, "clean_documents"))
     hit = decontaminate(by_row(rows), benchmark, window=window).where("contaminated").select(F.col("doc_id").alias(ROW))
-    return rows.join(hit, ROW, "left_anti").select(*docs.columns)
+    return rows.join(hit, ROW, "left_anti").select(*own_columns(docs))

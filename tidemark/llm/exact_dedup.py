@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, Scratch, by_row, drop_caches, further_rows, map_arrow, texts, with_rows
+from tidemark.llm.common import ROW, Scratch, by_row, drop_caches, further_rows, map_arrow, own_columns, texts, with_rows
 
 #: Buckets of repeated hashes that are broadcast: never more rows than this, whatever the corpus holds.
 BUCKETS = 1 << 18
@@ -90,4 +90,4 @@ def kept_documents(docs: DataFrame, *, keep: str = "smallest") -> DataFrame:
         dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
     else:
         dropped = further_rows(found.where("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group")), rows, scratch, largest=keep == "largest")
-    return rows.join(dropped, ROW, "left_anti").select(*docs.columns)
+    return rows.join(dropped, ROW, "left_anti").select(*own_columns(docs))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, Scratch, by_row, further_rows, map_arrow, slices, sum_vectors, texts, with_rows
+from tidemark.llm.common import ROW, Scratch, by_row, further_rows, map_arrow, own_columns, slices, sum_vectors, texts, with_rows
 from tidemark.llm.components import components
 from tidemark.llm.exchange import FLUSH, HELD, Held, parts_for, repeated_counts, repeated_places
 from tidemark.llm.exact_dedup import BUCKETS
@@ -399,4 +399,4 @@ def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFra
         gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(ROW))
     else:
         gone = further_rows(found.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")), rows, scratch)
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    return rows.join(gone, ROW, "left_anti").select(*own_columns(docs))

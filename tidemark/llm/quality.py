@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, Scratch, by_row, hash_sample, id_crc, map_arrow, slices, texts, with_rows
+from tidemark.llm.common import ROW, Scratch, by_row, hash_sample, id_crc, map_arrow, own_columns, slices, texts, with_rows
 from tidemark.llm.trees import boost
 
 #: Labelled rows, about, that the rules are fitted on, chosen by a hash of the id.
@@ -161,4 +161,4 @@ def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
     rows, unique = with_rows(docs, Scratch(docs.sparkSession, "accepted"))
     ids = None if unique else rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"))
     rejected = _scored(by_row(rows), labels, SAMPLE, threshold, ids).where("predicted = 0").select(F.col("doc_id" if unique else ROW).alias(ROW))
-    return rows.join(rejected, ROW, "left_anti").select(*docs.columns)
+    return rows.join(rejected, ROW, "left_anti").select(*own_columns(docs))
