@@ -1,13 +1,13 @@
 """Best-fit packing by linear grouping.
 
 A piece's length is an integer up to the capacity, so the corpus enters the plan only as the number of pieces of each
-length. Large lengths are rounded up within groups of equal cardinality. With few groups, which configurations of the
-rounded sizes are used how often is the optimum of the linear program over all configurations, found by column
-generation (a knapsack prices them), and what its rounding down leaves over is placed by subset sums; with groups so fine
-that a length is seldom rounded, all is placed by subset sums. Each configuration's places are filled with actual
-lengths, longest first; small pieces go, longest first, to the sequences they fit best. Of these plans the one with
-fewest sequences is taken: rounding costs room that nothing small may be left to fill. A plan is runs of equal sequences:
-its size depends on the capacity and not on the corpus. A join by length and rank gives each piece its place.
+length. Large lengths are rounded up within groups of equal cardinality. Which configurations of the rounded sizes are
+used how often is the optimum of the linear program over all configurations, found by column generation (a knapsack prices
+them); what rounding it down leaves over is placed by subset sums. Each configuration's places take the longest actual
+lengths that they and the room left before them have room for, so what rounding up cost is given back; small pieces go,
+longest first, to the sequences they fit best. Plans with other groups, and by subset sums of all lengths alone, are made
+too, and the one with fewest sequences is taken. A plan is runs of equal sequences: its size depends on the capacity and
+not on the corpus. A join by length and rank gives each piece its place.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ from tidemark.llm.common import Scratch, map_arrow, partitions_for, slices, text
 from tidemark.llm.tokens import CACHE, default_path, document_ids
 
 CAPACITY = 1024
-#: Large lengths form at most so many groups. With FEW or less of them the linear program is solved, in so many steps at
-#: most. SMALL_PARTS: small lengths are at most these parts of the capacity; few groups are tried with the first.
-GROUPS, FEW, STEPS, SMALL_PARTS = (40, 100, 1024), 128, 400, (4, 8, 16, 64)
+#: Large lengths form at most so many groups for the linear program, small ones being at most LARGE of the capacity; for
+#: subset sums alone each length is a group, and small ones are at most SMALL_PARTS of it.
+GROUPS, LARGE, SMALL_PARTS = (160, 1024), 4, (4, 8, 16, 64)
+#: By how much a configuration must be worth more than a sequence to enter the basis.
+EPSILON = 1e-7
 
 
 def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -107,27 +109,15 @@ def _descending(sizes: list[int], have: dict[int, int], room: int) -> list[int]:
     return chosen
 
 
-def optimised(counts: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[list[int], int]]:
-    """(sizes, how many sequences): the least linear combination of configurations that holds all sizes, rounded down.
-
-    A basis has as many configurations as there are sizes. Its prices say what a place for each size is worth; the
-    configuration that is worth most enters the basis while it is worth more than one sequence.
-    """
+def optimised(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """(sizes, how many sequences): the least linear combination of configurations that holds all sizes, rounded down."""
     sizes = np.array(sorted(counts, reverse=True), np.int64)
-    demand = np.array([counts[s] for s in sizes.tolist()], float)
     if not len(sizes):
         return []
-    basis = np.diag((capacity // sizes).astype(float))
-    for _ in range(steps):
-        prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
-        entering = _most_worth(sizes, prices, capacity)
-        if entering @ prices <= 1 + 1e-9:
-            break
-        amounts, direction = np.linalg.solve(basis, np.stack([demand, entering], axis=1)).T
-        ratios = np.where(direction > 1e-12, np.maximum(amounts, 0) / np.where(direction > 1e-12, direction, 1), np.inf)
-        basis[:, int(np.argmin(ratios))] = entering
-    times = np.floor(np.maximum(np.linalg.solve(basis, demand), 0) + 1e-7).astype(np.int64)
-    out, left = [], demand.astype(np.int64)
+    demand = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    basis, amounts = linear_program(sizes, demand, capacity)
+    times = np.floor(np.maximum(amounts, 0) + 1e-7).astype(np.int64)
+    out, left = [], demand.copy()
     for column, n in zip(basis.T.astype(np.int64), times.tolist(), strict=True):
         need = np.flatnonzero(column)
         n = min(n, int((left[need] // column[need]).min()))  # whatever rounding did, no more than there are
@@ -137,6 +127,46 @@ def optimised(counts: dict[int, int], capacity: int, steps: int = STEPS) -> list
     return out
 
 
+def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A basis of configurations, one a size, and how often each is used: the optimum, as no configuration is worth more
+    than a sequence at its prices.
+
+    It begins with the configurations that subset sums find one after the other. The configuration that is worth most
+    enters the basis while it is worth more than one. Demands are raised by tiny amounts, all different, so that each
+    step lowers the sum and none is taken twice. The basis's inverse is kept and made anew from time to time.
+    """
+    n, place = len(sizes), {int(x): k for k, x in enumerate(sizes)}
+    basis = np.diag((capacity // sizes).astype(float))
+    inverse = np.diag(1.0 / (capacity // sizes))
+    wanted = demand + 1e-5 * (1 + (np.arange(n) * 0.6180339887498949) % 1)
+    begun = []
+    for pattern, _ in configurations(dict(zip(sizes.tolist(), demand.tolist(), strict=True)), capacity):
+        column = np.zeros(n)
+        np.add.at(column, [place[x] for x in pattern], 1)
+        begun.append(column)
+    steps = 0
+    while True:
+        prices = inverse.sum(axis=0)
+        worth = [float(c @ prices) for c in begun]
+        if begun and max(worth) > 1 + EPSILON:
+            entering = begun[int(np.argmax(worth))]
+        else:
+            begun = []
+            entering = _most_worth(sizes, prices, capacity)
+            if entering @ prices <= 1 + EPSILON:
+                return basis, inverse @ demand
+        direction, amounts = inverse @ entering, np.maximum(inverse @ wanted, 0)
+        ratios = np.where(direction > 1e-9, amounts / np.where(direction > 1e-9, direction, 1), np.inf)
+        leaving = int(np.argmin(ratios))
+        basis[:, leaving] = entering
+        row = inverse[leaving] / direction[leaving]
+        inverse -= np.outer(direction, row)
+        inverse[leaving] = row
+        steps += 1
+        if steps % 200 == 0:
+            inverse = np.linalg.inv(basis)
+
+
 def _most_worth(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
     """How many of each size are worth most together, up to the capacity."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
@@ -183,52 +213,56 @@ def configurations(counts: dict[int, int], capacity: int, complement=_complement
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, offset): the ranks of a length go to consecutive sequences."""
-    tried = []
-    for part, n in [(part, n) for part in SMALL_PARTS for n in groups if n > FEW or part == SMALL_PARTS[0]]:
+    return min((found for _, found in plans(counts, capacity, groups)), key=lambda x: x[0])[1]
+
+
+def plans(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS):
+    """What each plan is made of, how many sequences it has, and itself. Of equal ones the linear program's are first."""
+    for part, n, by in [(LARGE, n, "linear program") for n in groups] + [(part, capacity, "subset sums") for part in SMALL_PARTS]:
         large = {x: c for x, c in counts.items() if x > capacity // part}
-        rounded = grouped(large, n)
         sizes: dict[int, int] = defaultdict(int)
-        for x, top in rounded.items():
+        for x, top in grouped(large, n).items():
             sizes[top] += large[x]
-        first = optimised(dict(sizes), capacity) if n <= FEW else []
+        first = optimised(dict(sizes), capacity) if by == "linear program" else []
         for way in (_complement, _descending):
-            tried.append(_plan(counts, capacity, rounded, capacity // part, configurations(dict(sizes), capacity, way, first)))
-    return min(tried, key=lambda x: x[0])[1]
+            yield by, _plan(counts, capacity, capacity // part, configurations(dict(sizes), capacity, way, first))
 
 
-def _plan(counts: dict[int, int], capacity: int, rounded: dict[int, int], small_most: int, found: list[tuple[list[int], int]]) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+def _plan(counts: dict[int, int], capacity: int, small_most: int, found: list[tuple[list[int], int]]) -> tuple[int, list[tuple[int, int, int, int, int]]]:
     """How many sequences, and where: actual lengths in the places of the configurations, then the small ones."""
-    large = {n: c for n, c in counts.items() if n > small_most}
-    by_group: dict[int, list[list[int]]] = defaultdict(list)  # group: [length, left], longest first
-    for n in sorted(large):
-        by_group[rounded[n]].append([n, large[n]])
+    have = {n: c for n, c in counts.items() if n > small_most}
+    lengths = sorted(have)
     used: dict[int, int] = defaultdict(int)
     out, sequence = [], 0
     runs: list[tuple[int, int, int]] = []  # room, first sequence, sequences
     for pattern, times in found:
-        while times:
-            # as many sequences as have the same actual lengths
-            wanted = {s: pattern.count(s) for s in pattern}
-            take = times
-            for s, k in wanted.items():
-                left = by_group[s][-1]
-                take = min(take, left[1] // k) if left[1] >= k else min(take, 1)
+        while times and lengths:
+            # The longest lengths that places of these sizes have room for, with the room that those before them left.
+            chosen, spare = [], capacity - sum(pattern)
+            for s in sorted(pattern, reverse=True):
+                spare += s
+                k = bisect.bisect_right(lengths, spare)
+                while k and have[lengths[k - 1]] <= chosen.count(lengths[k - 1]):
+                    k -= 1
+                if k:
+                    chosen.append(lengths[k - 1])
+                    spare -= lengths[k - 1]
+            # as many sequences as have the same lengths
+            take = min([times, *(have[x] // chosen.count(x) for x in set(chosen))]) if chosen else times
             offset = 0
-            for s in pattern:
-                own = by_group[s]
-                length, left = own[-1]
-                n = min(take, left)
-                out.append((length, used[length], used[length] + n, sequence, offset))
-                assert n == take
-                used[length] += n
-                own[-1][1] -= n
-                if not own[-1][1]:
-                    own.pop()
+            for length in chosen:
+                out.append((length, used[length], used[length] + take, sequence, offset))
+                used[length] += take
+                have[length] -= take
                 offset += length
+            lengths = [x for x in lengths if have[x]] if any(not have[x] for x in chosen) else lengths
+            times -= take
+            if not chosen:
+                continue
             if offset < capacity:
                 runs.append((capacity - offset, sequence, take))
             sequence += take
-            times -= take
+    assert not lengths  # places of a size or more are as many as pieces of it or longer ones
     rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for room, first, n in runs:
         rooms[room].append((first, n))
