@@ -29,12 +29,14 @@ BUCKET_S, CHUNK = 3600.0, 4096
 class Rule:
     """When a group that began at a row is cut at one of the rows from it on: where `ends` is true, at max_items rows,
     or where the row's t_end is max_s (more than it, if strict) after the first row's t_start. `after`: the row is the
-    group's last one; else it begins the next group, and a first row is never cut before itself."""
+    group's last one; else it begins the next group, and a first row is never cut before itself. `ends` counts only from
+    where the group has min_items rows."""
 
     after: bool
     max_s: float | None = None
     max_items: int | None = None
     strict: bool = False
+    min_items: int = 0
 
 
 def _written(spark, df: DataFrame, at: Store, name: str) -> DataFrame:
@@ -73,7 +75,8 @@ class _Cuts:
     def __init__(self, rule: Rule, t_end: np.ndarray, ends: np.ndarray):
         self.rule, self.t_end, self.ends = rule, t_end, ends
         self.stack: list[int] = []  # rows from `at` on whose end no earlier one of them reaches, the nearest last
-        self.mark, self.at = -1, len(t_end)
+        self.marks: list[int] = []  # rows where `ends` is true from `at` on, the nearest last
+        self.at = len(t_end)
 
     def _back(self) -> None:
         """Looks one row further back."""
@@ -84,7 +87,7 @@ class _Cuts:
                 self.stack.pop()
             self.stack.append(k)
         if self.ends[k]:
-            self.mark = k
+            self.marks.append(k)
 
     def back_to(self, k: int) -> None:
         while self.at > k:
@@ -94,8 +97,11 @@ class _Cuts:
         """The first of the rows from `at` on at which a group is cut that began at the time `first` and has n rows so
         far; the number of rows if it isn't cut."""
         found = len(self.t_end)
-        if self.mark >= 0:
-            found = self.mark
+        if self.marks:
+            least = self.at + max(0, self.rule.min_items - n - (1 if self.rule.after else 0))
+            far = bisect_left(self.marks, True, key=lambda k: k < least)
+            if far:
+                found = self.marks[far - 1]
         if self.rule.max_items is not None:
             found = min(found, max(self.at, self.at + self.rule.max_items - n - (1 if self.rule.after else 0)))
         if self.rule.max_s is not None and first is not None and not np.isnan(first):

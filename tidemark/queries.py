@@ -10,11 +10,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import media
+from tidemark.functions import media, table_functions
 from tidemark.functions import text as words_of
 from tidemark.functions.media import probe_info, sample_range
 from tidemark.functions.text import encode_word, normalize_word, tokens, word_count
-from tidemark.operators import align, intervals, segment, speech, stages, timelines
+from tidemark.operators import align, intervals, scenes, segment, speech, stages, timelines
 from tidemark.plans import index, retrieve
 from tidemark.schema import orphans, removed
 from tidemark.settings import Clips, Retrieval, Scenes, Settings, Speech
@@ -450,6 +450,46 @@ def dyadic_join(spark: SparkSession, d: str) -> DataFrame:
     return timelines.overlaps(mixed, asked).select("video_id", "id", "b_id")
 
 
+_FRAMES = """frames AS (
+        SELECT CAST(vec_id % 5 AS VARCHAR) AS video_id, vec_id // 5 AS frame_no, list_transform(embedding, lambda x: greatest(0, least(255, CAST(floor(128 + 400 * CAST(x AS DOUBLE)) AS INTEGER)))) AS p
+        FROM embeddings WHERE len(embedding) = 64
+    ), met AS (SELECT *, lag(p) OVER w AS q, row_number() OVER w AS k FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY frame_no)),
+    scored AS MATERIALIZED (SELECT video_id, frame_no / 25 AS t, k, coalesce(list_sum(list_transform(list_zip(p, q), lambda x: abs(x[1] - x[2]))) / 64 / 3, 0) >= 18.5 AS differs FROM met),
+    steps AS (
+        SELECT video_id, k, t, k AS first FROM scored WHERE k = 1
+        UNION ALL
+        SELECT s.video_id, s.k, s.t, CASE WHEN s.differs AND s.k - p.first >= 4 THEN s.k ELSE p.first END FROM steps p JOIN scored s ON s.video_id = p.video_id AND s.k = p.k + 1
+    ), scenes AS (SELECT video_id, first, min(t) AS t_start, max(t) AS last FROM steps GROUP BY video_id, first)"""
+
+
+@query(f"""WITH RECURSIVE {_FRAMES} SELECT video_id, t_start, coalesce(lead(t_start) OVER (PARTITION BY video_id ORDER BY first), last) AS t_end FROM scenes
+    QUALIFY count(*) OVER (PARTITION BY video_id) > 1""")
+def scene_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as grey frames of 8 by 8 pixels of five videos; a scene has four frames at least."""
+    byte = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 400 * x.cast("double")).cast("int"))))
+    pixels = F.unhex(F.array_join(F.transform(byte, lambda x: F.repeat(F.lpad(F.hex(x), 2, "0"), 3)), ""))
+    rows = table(spark, d, "embeddings").where(F.size("embedding") == 64)
+    no = F.floor(F.col("vec_id") / 5)
+    frames = rows.select((F.col("vec_id") % 5).cast("string").alias("video_id"), no.alias("frame_no"), (no / 25).alias("t"), F.lit(8).alias("height"), F.lit(8).alias("width"), pixels.alias("pixels"))
+    return scenes.scene_boundaries(scenes.frame_scores(frames), threshold=18.5, least_frames=4)
+
+
+@query(ORACLE_SQL["fixed_windows"])
+def sql_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of fixed_windows by the registered table function."""
+    table_functions.register(spark)
+    _videos(spark, d).createOrReplaceTempView("tidemark_videos")
+    return spark.sql("SELECT v.video_id, w.unit_no, w.t_start, w.t_end FROM tidemark_videos AS v, LATERAL fixed_windows(v.duration_s, 16.0D, 16.0D, 8.0D) AS w")
+
+
+@query(ORACLE_SQL["split_sentences"])
+def sql_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of split_sentences by the registered table function, which reads a video's words one after the other."""
+    table_functions.register(spark)
+    _words(spark, d).createOrReplaceTempView("tidemark_words")
+    return spark.sql("SELECT video_id, sentence_no, t_start, t_end, n_words, text FROM split_sentences(TABLE(SELECT video_id, t_start, t_end, text FROM tidemark_words) PARTITION BY video_id ORDER BY (t_start, t_end, text))")
+
+
 _DENSITY = r"spoken AS (SELECT video_id, sum(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) AS n FROM turns GROUP BY video_id), dense AS (SELECT v.video_id, duration_s, coalesce(n, 0) / duration_s AS density FROM videos v LEFT JOIN spoken USING (video_id))"
 
 

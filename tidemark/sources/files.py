@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import resource
 import subprocess
 import wave
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ from fnmatch import fnmatch
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,23 +74,33 @@ def read_waveforms(spark: SparkSession, path: str, rate: int = 16_000) -> DataFr
     return read_files(spark, path, "*.wav").select("path", "content").mapInArrow(decode, "path string, samples array<float>, error string")
 
 
-def run_model(rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """Rows through a model that is loaded once for each task. A batch that fails gives rows with an `error`.
+def run_model(rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, *, profile: ResourceProfile | None = None, measure: bool = False) -> DataFrame:
+    """Rows through a model that is loaded once for each task, and gone with it before the next task's.
 
-    schema: the model's columns; `error` is added.
+    A batch that fails is halved until the rows that fail stand alone: those have the input's values of the model's
+    columns and an `error`, and all others their results. schema: the model's columns; `error` is added. profile: what an
+    executor and a task of this step need, an accelerator for instance. measure: add `_peak_mb`, the most memory the
+    process that made a row has held so far, which operators.runs logs.
     """
     names = [x.strip().split()[0] for x in schema.split(",")]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
-            try:
-                yield model(batch).assign(error=None)[[*names, "error"]]
-            except Exception as e:  # one bad batch mustn't end the run
-                failed = batch.reindex(columns=names)
-                yield failed.assign(error=f"{type(e).__name__}: {e}"[:2000])
-
-    return rows.mapInPandas(work, f"{schema}, error string")
+            waiting = [batch]
+            while waiting:
+                own = waiting.pop()
+                try:
+                    made = model(own).assign(error=None)[[*names, "error"]]
+                except Exception as e:  # one bad row mustn't end the run
+                    if len(own) > 1:
+                        half = len(own) // 2
+                        waiting += [own.iloc[half:], own.iloc[:half]]
+                        continue
+                    made = own.reindex(columns=names).assign(error=f"{type(e).__name__}: {e}"[:2000])
+                yield made.assign(_peak_mb=resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024) if measure else made
+
+    return rows.mapInPandas(work, f"{schema}, error string" + (", _peak_mb double" if measure else ""), profile=profile)
 
 
 def copy_allowed(names: list[str], ignored: list[str]) -> list[str]:
