@@ -248,7 +248,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     n_near_items counts items with a window that the document has within the slop, and with none that it has exactly.
     Null texts have no words. Benchmark rows of one item_id are one item; a null item_id is written as an empty string.
     Rows that repeat a doc_id each get their own row. An empty benchmark hits nothing. A document of any length is
-    asked whole; windows that several items share count for each.
+    asked whole; windows that several items share count for each. An empty table of documents gives no rows. Columns
+    other than doc_id and text, or item_id and text, are left behind, whatever their names.
     """
     found, several = _found(docs, benchmark, window, slop, block_bytes)
     if several:

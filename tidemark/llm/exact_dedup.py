@@ -45,7 +45,8 @@ def exact_dedup(docs: DataFrame, *, keep: str = "smallest", digest_bytes: int =
     keep: `smallest` or `largest` doc_id of equal texts stays. A null text is an empty one; empty texts are equal.
     Rows that repeat a doc_id are rows of their own in group_size; the id that stays is `kept` in each of them. A null
     doc_id never stays while another id of its group can; a group of null ids only has a null keep_id and kept = true.
-    digest_bytes below 16 is for tests of collisions.
+    Texts of any length are hashed and compared whole, byte by byte within a group. An empty table gives no rows; columns
+    other than doc_id and text are left behind, whatever their names. digest_bytes below 16 is for tests of collisions.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep must be smallest or largest, not {keep!r}")

@@ -175,7 +175,10 @@ def identify(docs: DataFrame, *, held_out: Column | None = None, sample_each: in
     null or has no letter, and everywhere if there is nothing to learn from. sample_each bounds the rows of a language
     that weights are fitted on, about, and sample_all those of all languages, but for one row of each; document frequencies
     come from all. Rows that repeat an id count each and are sampled together; of equal scores the first language by name is
-    taken; a text of any length is one vector of n-gram counts. Every language is learnt: the fit's time and the driver's memory grow with their number.
+    taken; a text of any length is one vector of n-gram counts. Every language is learnt: the fit's time grows with their
+    number. A row of the sample has 32,768 n-grams at most, of 8 bytes each, and the driver holds it twice: a text of some
+    thousand words takes about 30 KB, so a sample of 240,000 long texts takes up to 8 GB, and sample_all must be lowered
+    where the driver has less. An empty table gives no rows; columns other than doc_id, text and lang are left behind.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "language")

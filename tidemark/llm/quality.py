@@ -135,6 +135,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, t
     statistics of zero and is scored like any other. Labels that are null, of no document or with a null id are not
     used; several labels of one id count as their majority, a tie as 1. Without labels every score is 0.5; with labels
     of one kind, the share of that kind.
+
+    A text of any length is measured whole. Rows that repeat, or have no id, each get their row and the same score for the
+    same text; equal scores are told apart by nothing, as nothing is ranked. An empty table gives no rows; columns of docs
+    other than doc_id and text, and of labels other than doc_id and quality, are left behind.
     """
     return _scored(docs, labels, sample, threshold).select("doc_id", "held_out", "score", "predicted")
 
