@@ -35,7 +35,7 @@ from tidemark.llm.words import span_hashes
 
 CACHE = "aligners"
 #: Bytes of texts in a slice, or one longer text.
-SLICE = 8_000_000
+SLICE = 5_000_000
 #: Parts of the segments' hashes and of the first ids. One task holds the distinct segments, or pairs, of a part, so their
 #: number doubles with each doubling of the texts beyond so many bytes.
 PARTS, PARTS_BYTES = 512, 16_000_000_000
@@ -322,8 +322,10 @@ def _tallies(small: bool, keep_groups: bool, parts: int):
             source = np.repeat((np.cumsum(sizes) - sizes)[own_code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             key = np.repeat(own_doc, n) * max(len(values), 1) + which[source]
             weight = np.repeat(times, n)
-            order = np.argsort(key, kind="stable")
+            del source, seen, n
+            order = np.argsort(key)
             key, weight = key[order], weight[order]
+            del order
             begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             often = np.add.reduceat(weight, begins) if len(begins) else np.zeros(0, np.int64)
             key = key[begins]
@@ -342,7 +344,7 @@ def _tallies(small: bool, keep_groups: bool, parts: int):
             pair_counts = np.bincount(pair_doc, minlength=len(counts)).astype("<u4")
             out.append((number, -1, -1, names, nulls, per_doc.astype("<i8").tobytes(), b"".join(digests), _compressed(b"".join(kept)), np.array([len(x) for x in kept], "<u4").tobytes(), pair_counts.tobytes(), _squeezed(place[pair].astype("<u4")), _squeezed(often.astype("<u4")), None))
             yield _batch(out, TALLIES)
-            del rows, answers, groups, pairs, key, weight, order, source, out
+            del rows, answers, groups, pairs, key, weight, out
             trim()
 
     return run
