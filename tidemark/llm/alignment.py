@@ -35,7 +35,7 @@ from tidemark.llm.words import span_hashes
 
 CACHE = "aligners"
 #: Bytes of texts in a slice, or one longer text.
-SLICE = 5_000_000
+SLICE = 6_500_000
 #: Parts of the segments' hashes and of the first ids. One task holds the distinct segments, or pairs, of a part, so their
 #: number doubles with each doubling of the texts beyond so many bytes.
 PARTS, PARTS_BYTES = 512, 16_000_000_000
