@@ -3,8 +3,8 @@
 Vectors are written once as blocks of integers in the narrowest type that holds them. A round reads the blocks, assigns
 their vectors by |x|^2 - 2 x.c + |c|^2 with the products as matrix products in float64, and combines counts and sums by
 treeAggregate, so that a round sends the driver some numbers for each centroid. Every sum in such a product is an integer
-below 2^53 if all components are below SMALL, so no addition rounds, in whatever order the library adds. Pairs of a
-vector and a centroid beyond it are computed in 64-bit integers up to MIDDLE, and in whole numbers of any size above.
+below 2^53 if all components are below a bound, so no addition rounds, in whatever order the library adds. Pairs of a
+vector and a centroid beyond it are computed in 64-bit integers up to another bound, and in whole numbers of any size above.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, drop_caches, map_arrow
 
-#: Bounds of components for D dimensions: D (2 SMALL)^2 < 2^53, D (2 MIDDLE)^2 < 2^63. See bounds().
+#: Components are below bounds so small that D times the square of twice them is no more than 2^53, or 2^63; see bounds().
 FLOAT_BITS, LONG_BITS = 53, 63
 #: Vectors in a block at most.
 BLOCK = 4096
