@@ -337,7 +337,8 @@ def overlaps(a: DataFrame, b: DataFrame, *, tick_s: float = 1.0, levels: int = 4
 
     A span is in a number of pieces that grows with the logarithm of its length, so a day among seconds is some dozens of
     rows and not a row for every bucket of the day. Two spans overlap exactly if a piece of one is a piece of the other
-    or lies above one, and the pair is kept once, at the piece with the first tick of both.
+    or lies above one, and the pair is kept once, at the piece with the first tick of both. Pieces are dozens of rows a
+    span, of which Spark's estimate knows nothing, so neither side may be broadcast: they meet by a sorted merge.
     """
     b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
     most = lambda x, p, q: x.agg(F.max(F.greatest(F.abs(F.floor(F.col(q) / tick_s) - F.floor(F.col(p) / tick_s)) + 1, F.lit(1)))).collect()[0][0] or 1
@@ -348,4 +349,4 @@ def overlaps(a: DataFrame, b: DataFrame, *, tick_s: float = 1.0, levels: int = 4
     first = F.greatest(_ticks("t_start", "t_end", tick_s)[0], _ticks("b_t_start", "b_t_end", tick_s)[0])
     meet = (F.col("video_id") == F.col("b_video_id")) & (F.col("_level") == F.col("_b_level")) & (F.col("_no") == F.col("_b_no"))
     exact = (F.col("_own") | F.col("_b_own")) & (_shifted(first, F.col("_level")) == F.col("_no")) & (F.col("b_t_start") < F.col("t_end")) & (F.col("b_t_end") > F.col("t_start"))
-    return left.join(right, meet & exact).drop("_level", "_no", "_own", "_b_level", "_b_no", "_b_own")
+    return left.join(right.hint("merge"), meet & exact).drop("_level", "_no", "_own", "_b_level", "_b_no", "_b_own")
