@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.fold import bound
+
 PROBE = (
     "struct<streams: array<struct<codec_type: string, r_frame_rate: string, avg_frame_rate: string, width: bigint, height: bigint, duration: string>>, format: struct<duration: string>>"
 )
@@ -23,21 +25,34 @@ def is_variable(declared: Column, average: Column, tolerance: float) -> Column:
 
 
 def probe_info(probe_json: Column, tolerance: float) -> Column:
-    """duration_s, fps, width, height, has_audio, is_variable_frame_rate of the first video stream; null without one."""
-    probe = F.from_json(probe_json, PROBE)
-    streams = probe["streams"]
-    video = F.get(F.filter(streams, lambda s: s["codec_type"] == "video"), 0)
-    declared, average = frame_rate(video["r_frame_rate"]), frame_rate(video["avg_frame_rate"])
-    duration = F.coalesce(F.nullif(video["duration"], F.lit("")), F.nullif(probe["format"]["duration"], F.lit("")))
-    info = F.struct(
-        F.coalesce(duration.try_cast("double"), F.lit(0.0)).alias("duration_s"),
-        F.when(average > 0, average).otherwise(declared).alias("fps"),
-        F.coalesce(video["width"], F.lit(0)).cast("long").alias("width"),
-        F.coalesce(video["height"], F.lit(0)).cast("long").alias("height"),
-        F.exists(streams, lambda s: F.coalesce(s["codec_type"] == "audio", F.lit(False))).alias("has_audio"),
-        is_variable(declared, average, tolerance).alias("is_variable_frame_rate"),
-    )
-    return F.when(video.isNotNull(), info)
+    """duration_s, fps, width, height, has_audio, is_variable_frame_rate of the first video stream; null without one.
+
+    The JSON is parsed once, and each rate is, however many fields are made from them.
+    """
+
+    def facts(probe: Column) -> Column:
+        video = F.get(F.filter(probe["streams"], lambda s: s["codec_type"] == "video"), 0)
+        found = F.struct(
+            video.alias("video"), frame_rate(video["r_frame_rate"]).alias("declared"), frame_rate(video["avg_frame_rate"]).alias("average"),
+            F.exists(probe["streams"], lambda s: F.coalesce(s["codec_type"] == "audio", F.lit(False))).alias("has_audio"), probe["format"]["duration"].alias("whole"),
+        )
+        return bound(found, info)
+
+    def info(x: Column) -> Column:
+        duration = F.coalesce(F.nullif(x["video"]["duration"], F.lit("")), F.nullif(x["whole"], F.lit("")))
+        return F.when(
+            x["video"].isNotNull(),
+            F.struct(
+                F.coalesce(duration.try_cast("double"), F.lit(0.0)).alias("duration_s"),
+                F.when(x["average"] > 0, x["average"]).otherwise(x["declared"]).alias("fps"),
+                F.coalesce(x["video"]["width"], F.lit(0)).cast("long").alias("width"),
+                F.coalesce(x["video"]["height"], F.lit(0)).cast("long").alias("height"),
+                x["has_audio"].alias("has_audio"),
+                is_variable(x["declared"], x["average"], tolerance).alias("is_variable_frame_rate"),
+            ),
+        )
+
+    return bound(F.from_json(probe_json, PROBE), facts)
 
 
 def sample_range(t_start: Column, t_end: Column, pad_s: float, rate: int, total: Column) -> tuple[Column, Column]:
