@@ -58,21 +58,20 @@ def best_paths(scores: list[np.ndarray], ids: list[np.ndarray]) -> list[np.ndarr
         alpha[~inside] = -np.inf
         last = frames == t + 1
         final[last] = alpha[last]
-    out: list[np.ndarray | None] = []
-    for k in range(n):
-        end = 2 * int(lengths[k])
-        at = end if not lengths[k] or final[k, end] > final[k, end - 1] else end - 1
-        if not lengths[k] or final[k, at] == -np.inf:
-            out.append(None)
-            continue
-        spans = np.zeros((lengths[k], 2), np.int64)
-        for t in range(int(frames[k]) - 1, -1, -1):
-            if at % 2:
-                spans[at // 2, 0] = t
-                spans[at // 2, 1] = max(spans[at // 2, 1], t + 1)
-            at -= int(came[t, k, at])
-        out.append(spans)
-    return out
+    # All windows are followed back together, a frame at a time.
+    every, end = np.arange(n), 2 * lengths
+    at = np.where((lengths > 0) & ~(final[every, end] > final[every, end - 1]), end - 1, end)
+    fits = (lengths > 0) & (final[every, at] != -np.inf)
+    spans = np.zeros((n, max(int(lengths.max(initial=0)), 1), 2), np.int64)
+    for t in range(most_t - 1, -1, -1):
+        on = np.flatnonzero(fits & (t < frames))
+        own = at[on]
+        odd = own % 2 == 1
+        k, j = on[odd], own[odd] // 2
+        spans[k, j, 0] = t
+        spans[k, j, 1] = np.maximum(spans[k, j, 1], t + 1)
+        at[on] = own - came[t, on, own]
+    return [spans[k, : lengths[k]] if fits[k] else None for k in range(n)]
 
 
 def _timed(word_tokens: list | None, span: np.ndarray | None, scale: float, offset: float) -> list:
@@ -87,12 +86,13 @@ def _timed(word_tokens: list | None, span: np.ndarray | None, scale: float, offs
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        word_ids, tokens, n_frames, scale, offset = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
+        tokens, n_frames, scale, offset = (batch.column(k).to_pylist() for k in (1, 3, 4, 5))
         values, bounds = batch.column(2).flatten().to_numpy(zero_copy_only=False), [0, *np.cumsum(batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()]
         sizes = [b - a for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        spans: list = [None] * len(word_ids)
+        spans: list = [None] * batch.num_rows
         ids = [np.array([i for own in x or [] for i in own or []], np.int64) for x in tokens]
         held: list[int] = []
+        longest = 0  # the most ids of a window that is held
 
         def solve() -> None:
             found = best_paths([values[bounds[k] : bounds[k + 1]].reshape(n_frames[k], -1) for k in held], [ids[k] for k in held])
@@ -103,8 +103,10 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in sorted(range(len(ids)), key=lambda k: n_frames[k] or 0):
             if not len(ids[k]) or not sizes[k] or not n_frames[k] or sizes[k] % n_frames[k] or ids[k].max() >= sizes[k] // n_frames[k]:
                 continue  # no words, or no scores that fit them: its words keep the times that they have
-            if held and (len(held) + 1) * n_frames[k] * (2 * max(len(ids[k]), *(len(ids[j]) for j in held)) + 1) > CELLS:
+            longest = max(longest, len(ids[k])) if held else len(ids[k])
+            if held and (len(held) + 1) * n_frames[k] * (2 * longest + 1) > CELLS:
                 solve()
+                longest = len(ids[k])
             held.append(k)
         if held:
             solve()
