@@ -123,23 +123,50 @@ def _array(x: pa.Scalar, kind) -> np.ndarray:
     return np.array([np.nan if v is None and kind is float else v or 0 for v in x.as_py() or []], kind)
 
 
+def _path(rule: Rule, t_start: list, t_end: list, ends: list) -> list[tuple[int, int]]:
+    """The groups that the first row leads to, each with its cut, by one pass over the rows; the last one's cut is their
+    number, and is open if the rows go on."""
+    out, k, n = [], 0, len(t_end)
+    least, most, reach = rule.min_items, rule.max_items, rule.max_s
+    while k < n:
+        first, j = t_start[k], k if rule.after else k + 1
+        while j < n:
+            rows = j - k + (1 if rule.after else 0)
+            if ends[j] and rows >= least or most is not None and rows >= most:
+                break
+            if reach is not None and first is not None and t_end[j] is not None:
+                length = t_end[j] - first
+                if length > reach or length == reach and not rule.strict:
+                    break
+            j += 1
+        cut = min(j + 1, n) if rule.after else j
+        out.append((k, cut if j < n else n + 1))
+        k = cut
+    return out
+
+
 def _found(rule: Rule, size: int):
-    """For each row of each chunk where its group is cut; groups that aren't cut in the chunk stay open."""
+    """For each row of each chunk where its group is cut; groups that aren't cut in the chunk stay open. A time line's first
+    chunk is entered at its first row only, so just the groups that this one leads to are found there."""
 
     def run(batches):
         for r in _rows_of(batches):
-            starts, ends_at = r["t_start"].as_py(), _array(r["t_end"], float)
-            cuts, base, out = _Cuts(rule, ends_at, _array(r["ends"], bool)), r["chunk"].as_py() * size, []
+            starts, base, last, out = r["t_start"].as_py(), r["chunk"].as_py() * size, r["last"].as_py(), []
             n = len(starts)
-            for k in range(n - 1, -1, -1):
-                cuts.back_to(k if rule.after else k + 1)
-                at = cuts.cut(starts[k], 0 if rule.after else 1)
-                if at < n:
-                    out.append((base + k, base + at + (1 if rule.after else 0), None, None))
-                else:
-                    out.append((base + k, base + n if r["last"].as_py() else None, starts[k], n - k))
+            if base == 0:
+                for k, at in _path(rule, starts, r["t_end"].as_py(), r["ends"].as_py()):
+                    out.append((k, at, None, None) if at <= n else (k, n if last else None, starts[k], n - k))
+            else:
+                cuts = _Cuts(rule, _array(r["t_end"], float), _array(r["ends"], bool))
+                for k in range(n - 1, -1, -1):
+                    cuts.back_to(k if rule.after else k + 1)
+                    at = cuts.cut(starts[k], 0 if rule.after else 1)
+                    if at < n:
+                        out.append((base + k, base + at + (1 if rule.after else 0), None, None))
+                    else:
+                        out.append((base + k, base + n if last else None, starts[k], n - k))
             columns = list(zip(*out, strict=True))
-            same = [pa.array([r[c].as_py()] * n, t) for c, t in (("video", pa.string()), ("is_null", pa.bool_()), ("chunk", pa.int64()))]
+            same = [pa.array([r[c].as_py()] * len(out), t) for c, t in (("video", pa.string()), ("is_null", pa.bool_()), ("chunk", pa.int64()))]
             yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True))], names=["video", "is_null", "chunk", "start", "cut", "first", "n"])
 
     return run
