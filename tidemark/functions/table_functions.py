@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import Row, SparkSession
@@ -22,21 +21,23 @@ _FIXED = """
         END)) AS w(i)
         WHERE coalesce(duration, 0) > 0
 """
-_QUOTES = re.compile(f"[{re.escape(CLOSING)}]+$")
 
 
 class SplitSentences:
     """Holds the words of the open sentence only. The table argument is partitioned by video and in the order of words."""
 
     def __init__(self):
-        self.settings, self.no, self.words, self.key = Speech(), 0, [], None
+        settings = Speech()
+        self.most, self.seconds, self.no, self.words, self.key, self.at = settings.max_words, settings.max_seconds, 0, [], None, None
 
     def eval(self, row: Row) -> Iterator[tuple]:
-        self.key = row["video_id"]
-        self.words.append((row["t_start"], row["t_end"], row["text"]))
-        text = _QUOTES.sub("", (row["text"] or "").strip())
-        first, end = self.words[0][0], row["t_end"]
-        if text[-1:] in TERMINAL and text or len(self.words) >= self.settings.max_words or (first is not None and end is not None and end - first >= self.settings.max_seconds):
+        if self.at is None:  # where the columns are: a row looks each name up anew
+            self.at = [row.__fields__.index(x) for x in ("video_id", "t_start", "t_end", "text")]
+        video, start, until, said = self.at
+        self.key, end, text = row[video], row[until], row[said]
+        self.words.append((row[start], end, text))
+        text, first = (text or "").strip().rstrip(CLOSING), self.words[0][0]
+        if text and text[-1] in TERMINAL or len(self.words) >= self.most or (first is not None and end is not None and end - first >= self.seconds):
             yield self._sentence()
 
     def terminate(self) -> Iterator[tuple]:
